@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,7 +217,7 @@ class PieceBpe:
         def encode(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[positions].tolist(), ends[positions].tolist(), strict=True)]
             ids = self.pieces.encode(texts, num_threads=1)
-            lengths = np.array([len(x) for x in ids], np.int64)
-            return np.concatenate([np.array(x, np.uint16) for x in ids]), lengths
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(lengths.sum())), lengths
 
         return self.table.gather(self.table.look_up(w.hashes, encode))

@@ -26,6 +26,7 @@ _EXACT_TABLE = _TABLE.copy()
 _TABLE[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
 for _t in (_TABLE, _EXACT_TABLE):
     _t[_SPACE] = 0
+_LINE_TABLE = np.random.Generator(np.random.PCG64(20240301)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = np.ones(0, np.uint64)
 _INVERSES = np.ones(0, np.uint64)
 
@@ -107,6 +108,23 @@ def _hashed(first: int, raw: np.ndarray, bounds: np.ndarray, table: np.ndarray)
     return Words(first, raw, bounds, mix(hashes), starts, offsets)
 
 
+def line_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offset and hash of every line of the texts; lines end at \\n or the text's end, and equal lines have equal hashes."""
+    n = len(raw)
+    first = np.zeros(n + 1, bool)
+    first[bounds[:-1]] = True
+    breaks = raw == 0x0A
+    first[1:] |= breaks
+    first = first[:n]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    powers, inverses = _powers(n)
+    values = _LINE_TABLE[raw]
+    values[breaks] = 0
+    return starts, mix(np.add.reduceat(values * powers, starts) * inverses[starts])
+
+
 def word_ends(w: Words) -> np.ndarray:
     """Byte offset just after each word."""
     inner = ~_SPACE[w.raw]
