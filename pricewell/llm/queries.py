@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import chat, rollup
+from pricewell.llm import chat, html_text, rollup, toxicity
 from pricewell.llm.packing import pack
 from pricewell.llm.quality import quality
 from pricewell.llm.shared import shared_folder, stored, table
@@ -18,10 +18,26 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def fold_of(doc_id: str) -> Column:
+    """crc32 of the id as text, modulo 5."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
+def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
+def op3_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = stored(toxicity.sample(docs, labels, fold_of("doc_id") != 0), "labelled")
+    scored = toxicity.score(docs, toxicity.fit(labelled))
+    return scored.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
@@ -49,7 +65,9 @@ def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_blocks": op1_line_blocks,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
+    "op3_weighted_lexicon": op3_weighted_lexicon,
     "op6_schema_fingerprint": op6_schema_fingerprint,
     "op7_delta_rollup": op7_delta_rollup,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
