@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import chat, decontaminate, html_text, rollup, toxicity
+from pricewell.llm import chat, decontaminate, html_text, lm, rollup, toxicity
 from pricewell.llm.packing import pack
 from pricewell.llm.quality import quality
 from pricewell.llm.shared import shared_folder, stored, table
@@ -68,6 +68,11 @@ def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op9_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), fold_of("doc_id") != 1)
+    return scored.withColumn("held_out", fold_of("doc_id") == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_schema_fingerprint": op6_schema_fingerprint,
     "op7_delta_rollup": op7_delta_rollup,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
+    "op9_log_frequency_bloom": op9_log_frequency_bloom,
 }
 
 # The template escapes "<|" and the backslash inside texts: one more character each.
