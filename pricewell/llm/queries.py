@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import chat, decontaminate, html_text, lm, rollup, toxicity
+from pricewell.llm import chat, decontaminate, html_text, jaccard, lm, rollup, toxicity
 from pricewell.llm.packing import pack
 from pricewell.llm.quality import quality
 from pricewell.llm.shared import shared_folder, stored, table
@@ -42,6 +42,10 @@ def op4_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op6_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_weighted_lexicon": op3_weighted_lexicon,
     "op4_template_windows": op4_template_windows,
+    "op5_token_combinations": op5_token_combinations,
     "op6_schema_fingerprint": op6_schema_fingerprint,
     "op7_delta_rollup": op7_delta_rollup,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
