@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import chat, decontaminate, html_text, jaccard, lm, rollup, toxicity
+from pricewell.llm import chat, decontaminate, html_text, jaccard, lm, passages, rollup, toxicity
 from pricewell.llm.packing import pack
 from pricewell.llm.quality import quality
 from pricewell.llm.shared import shared_folder, stored, table
@@ -77,6 +77,10 @@ def op9_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", fold_of("doc_id") == 1)
 
 
+def op10_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_delta_rollup": op7_delta_rollup,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
     "op9_log_frequency_bloom": op9_log_frequency_bloom,
+    "op10_collinear_chaining": op10_collinear_chaining,
 }
 
 # The template escapes "<|" and the backslash inside texts: one more character each.
