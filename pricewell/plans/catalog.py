@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pricewell.operators import estimate, text
+from pricewell.plans.sql_queries import SQL
+from pricewell.sources.adapters import with_views
+
 FLAGSHIP = "flagship"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.sql(with_views(sql, True, sf_dir))
+
+
+#: Queries in the DataFrame API; their SQL is only the check.
+FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {**estimate.FRAMES, **text.FRAMES}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for n, (f, _) in FRAMES.items()} | {n: _query(s) for n, s in SQL.items()}
+ORACLES: dict[str, str] = {n: with_views(s, False) for n, s in [*((n, s) for n, (_, s) in FRAMES.items()), *SQL.items()]}
