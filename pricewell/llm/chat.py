@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -96,6 +96,10 @@ def canonical_turns(records: DataFrame, id_column: str = "conv_id") -> DataFrame
     return out.select("conv_id", "turn", role.alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def _as_turn(role: str, text: str) -> Callable[[Column], Column]:
+    return lambda m: F.struct(m[role].alias("role"), m[text].alias("text"))
+
+
 def canonical_json(records: DataFrame, json_column: str, id_column: str = "conv_id") -> DataFrame:
     """Turns of records that are JSON objects, each with a layout of its own; other texts give no turns."""
     v = F.try_parse_json(F.col(json_column))
@@ -108,7 +112,7 @@ def canonical_json(records: DataFrame, json_column: str, id_column: str = "conv_
             path, role, text = mapping.lists
             shape = f"{path}: ARRAY<OBJECT<.*\\b({role}: STRING.*\\b{text}|{text}: STRING.*\\b{role}): "
             listed = F.try_variant_get("v", f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            turns = F.transform(listed, lambda m, r=role, t=text: F.struct(m[r].alias("role"), m[t].alias("text")))
+            turns = F.transform(listed, _as_turn(role, text))
             mine = F.col("kind").rlike(shape)
         else:
             fields = sorted({p for _, path in mapping.turns for p in path.split("+")})
