@@ -10,8 +10,9 @@ a parity bitmap, whose distance never exceeds the sets' true difference, and are
 then verified on the sets themselves.
 
 A group of the index yields all its pairs only up to RARE members. Of a larger
-group each member is paired with one leader; pairs of members that then still
-lie in different components follow, so no link between components is lost.
+group each member is paired with one leader; members that then still lie
+in different components are compared block by block, so no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ from pricewell.llm.words import Words, inside, mix, ngrams, words
 #: Members of an index group up to which all its pairs are candidates.
 RARE = 32
 #: A gram is common if one in so many documents has it. Only the order of grams depends on it.
-COMMON_SHARE = 200
+COMMON_SHARE = 2000
 #: Common grams that are kept at most, 8 bytes each in every task.
 MOST_COMMON = 1_000_000
+#: Members of a block of a large group; blocks are compared as a whole, and only pairs that may be similar become rows.
+BLOCK = 256
 #: Grams counted at once within a task.
 RUN = 4_000_000
 #: Representatives up to which their ids are broadcast to pick their texts.
@@ -55,9 +58,9 @@ class Rule:
         return total * (100 - self.percent) // (100 + self.percent)
 
     def parts(self, band: int) -> tuple[int, int]:
-        """Parts of a scheme, and how many of them may be empty in a set without making them evidence."""
+        """Parts of a scheme, and how many of them may hold a gram or none in a set without making them evidence."""
         differ = self.difference(2 * (self.edges[band + 1] - 1))
-        spare = 1 + differ // 16
+        spare = 1 + differ // 8
         return differ + 1 + spare, spare
 
     def bands(self, size: int) -> tuple[int, int]:
@@ -103,14 +106,20 @@ def distance(a: np.ndarray, b: np.ndarray) -> int:
 def combinations(s: np.ndarray, rule: Rule) -> Iterator[np.ndarray]:
     """Hashes of the parts of a set under the schemes of its size."""
     for band in rule.bands(len(s)):
+        if not rule.difference(2 * (rule.edges[band + 1] - 1)):
+            continue  # similar sets of this size are equal, and of one class
         parts, spare = rule.parts(band)
         part = (mix(s + np.uint64(band + 1)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cut = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
         sums = np.add.reduceat(mix(s[order] ^ np.uint64(0x9FB21C651E98DF25)), cut)
         seed = np.uint64(band << 40)
-        yield mix(sums + mix(part[order][cut].astype(np.uint64) + seed))
-        if parts - len(cut) > spare:
+        keys = mix(sums + mix(part[order][cut].astype(np.uint64) + seed))
+        strong = np.diff(np.append(cut, len(s))) > 1
+        if parts - strong.sum() <= spare:  # similar sets agree on more parts than may be weak
+            yield keys[strong]
+        else:
+            yield keys
             empty = np.setdiff1d(np.arange(parts), part)
             yield mix(mix(empty.astype(np.uint64) + seed) ^ np.uint64(0xA0761D6478BD642F))
 
@@ -308,11 +317,56 @@ class Join:
         roots = stored(components(links), "roots")
         rows = large.join(roots.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("root", F.coalesce("component", "key")).drop("component")
         mixed = rows.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("h")
-        rows = stored(rows.join(mixed, "h", "left_semi").select("h", "key", "n", "root"), "mixed")
-        a, b = (rows.select("h", F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
-        p = self.rule.percent
-        pairs = a.join(b, "h").where("root_a < root_b").where(F.greatest("n_a", "n_b") * p <= F.least("n_a", "n_b") * 100).select("a", "b").distinct()
-        return self.joined(links, stored(self.near(pairs), "near"))
+        rows = stored(rows.join(mixed, "h", "left_semi"), "mixed")
+        own = rows.groupBy("key").agg(F.collect_set("h").alias("groups"))  # as many as the set's parts at most
+        rows = rows.join(own, "key").join(self.classes.select("key", "bitmap"), "key")
+        block = F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / BLOCK).cast("long"))
+        blocks = rows.groupBy("h", block.alias("block")).agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("sizes"), F.collect_list("root").alias("roots"), F.collect_list("bitmap").alias("maps"), F.collect_list("groups").alias("groups"))
+        blocks = stored(blocks, "blocks")
+        a, b = (blocks.select("h", F.col("block").alias(f"block_{x}"), F.struct("keys", "sizes", "roots", "maps", "groups").alias(x)) for x in "ab")
+        rule = self.rule
+
+        def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for h, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    found = set(_near_blocks(h, _Block(x), _Block(y), rule))
+                    if found:
+                        yield pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+        near = a.join(b, "h").where("block_a <= block_b").select("h", "a", "b").mapInArrow(task, "a long, b long").distinct()
+        return self.joined(links, stored(near, "near"))
+
+
+class _Block:
+    """Members of a group: keys, sizes, roots, and bitmaps folded to the smallest one's cells."""
+
+    def __init__(self, row: pa.StructScalar) -> None:
+        keys, sizes, roots, maps = (row[name].as_py() for name in ("keys", "sizes", "roots", "maps"))
+        self.keys, self.sizes, self.roots = (np.array(x, np.int64) for x in (keys, sizes, roots))
+        self.groups = [set(x) for x in row["groups"].as_py()]
+        self.least = min(map(len, maps))
+        self.maps = maps
+
+    def folded(self, size: int) -> np.ndarray:
+        out = np.zeros((len(self.maps), size), np.uint8)
+        for i, m in enumerate(self.maps):
+            x = np.frombuffer(m, np.uint8)
+            out[i] = np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+        return out
+
+
+def _near_blocks(h: int, x: _Block, y: _Block, rule: Rule) -> Iterator[tuple[int, int]]:
+    """Pairs of different components that sizes and bitmaps allow, smaller key first; of all groups that hold a pair only the least gives it."""
+    size = min(x.least, y.least)
+    a, b = x.folded(size), y.folded(size)
+    for i in range(len(a)):
+        differ = np.bitwise_count(a[i] ^ b).sum(axis=1, dtype=np.int64)
+        total = x.sizes[i] + y.sizes
+        ok = (differ <= total * (100 - rule.percent) // (100 + rule.percent)) & (x.roots[i] != y.roots)
+        ok &= np.maximum(x.sizes[i], y.sizes) * rule.percent <= 100 * np.minimum(x.sizes[i], y.sizes)
+        for j in np.flatnonzero(ok).tolist():
+            if min(x.groups[i] & y.groups[j]) == h:
+                yield min(int(x.keys[i]), int(y.keys[j])), max(int(x.keys[i]), int(y.keys[j]))
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
