@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ MAX_WORDS = 1_500_000
 #: GPT-2's splitting pattern in possessive form; it splits alike and backtracks less.
 BYTE_BPE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
+# The byte-level vocabulary's special token and its id. Texts that spell it out get the id, as the vocabulary's JSON form says.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+
 
 class WordTable:
     """key (uint64) -> run of ids; encode turns keys' words into ids when they are new."""
@@ -68,12 +72,12 @@ class WordTable:
 
 @functools.lru_cache(2)
 def byte_bpe(path: str):
-    """A tiktoken encoding from a file of ranks, without special tokens."""
+    """A tiktoken encoding from a file of ranks, with the one special token."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
 
 @functools.lru_cache(2)
@@ -102,7 +106,7 @@ class ByteBpe:
     The splitting pattern never joins a word to what follows its end, and takes
     from the white space before it at most one blank. So a word with the white
     space before it can be encoded alone. Texts with white space beyond ASCII's
-    are encoded whole.
+    or with the special token are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -132,7 +136,7 @@ class ByteBpe:
         some = np.flatnonzero(np.diff(w.offsets))
         tail_from[some] = ends[w.offsets[some + 1] - 1]
         whole = np.zeros(n_texts, bool)
-        odd = _odd_space(raw)
+        odd = np.concatenate([_odd_space(raw), np.array([m.start() for m in re.finditer(re.escape(SPECIAL.encode()), data)], np.int64)])
         whole[np.searchsorted(w.bounds, odd, "right") - 1] = True
 
         parts: list[np.ndarray] = []
@@ -185,7 +189,7 @@ class ByteBpe:
                 parts.append(flat[own[t] : own[t + 1]])
                 continue
             if t in whole_of:
-                mine = np.array(encoding.encode_ordinary(text(w.bounds[t], w.bounds[t + 1])), np.uint16)
+                mine = np.array(encoding.encode(text(w.bounds[t], w.bounds[t + 1]), allowed_special={SPECIAL}), np.uint16)
             else:
                 pieces, last = [], int(by_word[w.offsets[t]])
                 for i in odd_words.get(t, ()):

@@ -219,3 +219,26 @@ def test_toxicity(spark):
     out = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
     assert out[1] > 0.5 and out[5] > 0.5 and max(out[2], out[3], out[4]) < 0.5
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_ids_equal_the_vocabulary_library():
+    """Whole texts with odd white space, the special token spelled out, and texts next to each other."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from pricewell.llm.tokens import ByteBpe
+
+    texts = ["a <|endoftext|> b", "a<|endoftext|>", "<|endof", "text|> x", "  <|endoftext|>\n<|endoftext|> ", None, "", " ", "\n\n a\n  b 12 ٣٤ é é ", "x\u0085y  z", "\x1c\x1d a", "it's WE'LL 'tis a​b\t\tc", "日本語 text 🙂🙂 end\r\n", prose(9, 500)]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = [ids[bounds[i] : bounds[i + 1]].tolist() for _, ids, bounds in ByteBpe(BYTE_BPE).texts(pa.array(texts)) for i in range(len(bounds) - 1)]
+    assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_head_words_are_bounded(spark):
+    """The head holds whole levels of counts, the most frequent ones, never more words than asked for."""
+    counts = spark.createDataFrame([(2 * i, n) for i, n in enumerate([1000, 900, 50, 50, 50, 1, 1])], "h long, n long")
+    assert sorted(r["n"] for r in lm.head_words(counts, 4, 7).collect()) == [900, 1000]
+    assert lm.head_words(counts, 7, 7).count() == 7
+    assert [r["n"] for r in lm.head_words(counts, 1, 7).collect()] == [1000]
+    assert lm.head_words(counts.where("false"), 4, 0).count() == 0
