@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pricewell.operators import estimate, text
-from pricewell.plans.sql_queries import SQL
+from pricewell.plans import sql_index, sql_queries
 from pricewell.sources.adapters import with_views
 
 FLAGSHIP = "flagship"
@@ -17,6 +17,9 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.sql(with_views(sql, True, sf_dir))
 
 
+#: All queries in SQL.
+SQL: dict[str, str] = {**sql_queries.SQL, **sql_index.SQL}
+
 #: Queries in the DataFrame API; their SQL is only the check.
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {**estimate.FRAMES, **text.FRAMES}
 

@@ -69,6 +69,18 @@ VIEWS = {
             R4(sum(CASE WHEN is_imputed AND price IS NOT NULL THEN weight ELSE 0.0e0 END) / sum(weight)) AS imputed_share,
             count(price) AS n_items
         FROM v_filled GROUP BY as_of, location_id, version""",
+    "v_units": "SELECT 'kg' AS unit, 1000.0e0 AS factor UNION ALL SELECT 'g' AS unit, 1.0e0 AS factor UNION ALL SELECT 'l' AS unit, 1000.0e0 AS factor",
+    "v_items": "SELECT item, CASE WHEN quantity > 4 THEN 'kg' WHEN quantity > 2 THEN 'g' ELSE 'l' END AS unit FROM v_basket_items WHERE version = 1",
+    # Pairs of different locations of one region; as many as the regions' locations allow, whatever the observations.
+    "v_distances": """
+        SELECT a.location_id AS a, b.location_id AS b, 2 * 6371.0088e0 * asin(least(1.0e0, sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2)
+            + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2)))) AS km
+        FROM v_locations a JOIN v_locations b ON a.admin1_id = b.admin1_id AND a.location_id <> b.location_id""",
+    # An item's local median against all locations' of 30 days.
+    "v_levels": """
+        SELECT l.location_id, l.item, l.median / n.median AS ratio
+        FROM (SELECT location_id, item, MED(unit_price) AS median FROM v_obs WHERE is_valid AND observed_on BETWEEN date '1998-03-01' AND date '1998-03-30' GROUP BY location_id, item) l
+        JOIN (SELECT item, MED(unit_price) AS median FROM v_obs WHERE is_valid AND observed_on BETWEEN date '1998-03-01' AND date '1998-03-30' GROUP BY item) n ON n.item = l.item WHERE n.median > 0""",
     # One rate a day: the manual one first; a side that is missing gives way to the other.
     "v_rates": """
         SELECT rate_date, coalesce(parallel_rate, official_rate) AS rate, official_rate, parallel_rate FROM (
@@ -83,6 +95,9 @@ _DIALECT = [
     (r"\bMED\(([^()]+)\)", r"percentile(\1, 0.5)", r"quantile_cont(\1, 0.5)"),
     (r"\bQ\(([^(),]+), ([0-9.]+)\)", r"percentile(\1, \2)", r"quantile_cont(\1, \2)"),
     (r"\bSHA256\((.*?\)\))\)", r"substring(sha2(\1, 256), 1, 32)", r"substring(sha256(\1), 1, 32)"),
+    (r"\bDIGEST\(([^()]+)\)", r"sha2(\1, 256)", r"sha256(\1)"),
+    (r"\bFAIL\(", "raise_error(", "error("),
+    (r"\bMATCHES\(", "regexp_like(", "regexp_matches("),
     (r"\bCHARS\b", "string", "varchar"),
     (r"\bWEEKDAY\(([^()]+)\)", r"(dayofweek(\1) - 1)", r"dayofweek(\1)"),
 ]
