@@ -5,7 +5,7 @@ equal runs of WINDOW + K - 1 words share a seed. Every seed is joined with its
 first place in the corpus; a seed's places number linearly, whatever its
 frequency. Matches of a document with another are chained in order of both,
 with gap costs, through a Fenwick tree of prefix maxima; chains are aligned word
-by word and extended at their ends. Aligned pieces of one document that touch
+by word, cut where they are not alike and extended at their ends. Aligned pieces of one document that touch
 make one passage.
 """
 
@@ -148,33 +148,77 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two gaps; row by row, as a running maximum."""
+    """Length of the longest common subsequence of two gaps; a row of the table is one integer, a bit a word of b."""
     if len(a) == len(b):
         equal = int((a == b).sum())
-        if 2 * equal >= len(a) or len(a) > 400:
+        if 2 * equal >= len(a):
             return equal
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a[:400]:
-        step = row.copy()
-        step[1:] = np.maximum(row[1:], row[:-1] + (b == x))
-        row = np.maximum.accumulate(step)
-    return int(row[-1])
-
-
-def align(chain: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> Piece:
-    """The chain with what lies between and beside its matches; a and b are the documents' words."""
-    x0, y0 = chain[0]
-    left, equal = _extend(a[:x0][::-1], b[:y0][::-1])
-    first, there = x0 - left, y0 - left
-    x, y = x0, y0
-    for nx, ny in chain:
-        if nx - x == ny - y:
-            equal += int((a[x:nx] == b[y:ny]).sum())
-        else:
-            equal += _common(a[x:nx], b[y:ny])
-        x, y = nx, ny
-    right, more = _extend(a[x:], b[y:])
-    return Piece(first, x + right, there, y + right, equal + more)
+    places: dict[int, int] = {}
+    for i, x in enumerate(b.tolist()):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a.tolist():
+        hit = row & places.get(x, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
+
+
+def _core(chain: list[tuple[int, int]], equal: int) -> Piece:
+    """From the first match to the last one's end; equal counts the words before the last match."""
+    (x0, y0), (x, y) = chain[0], chain[-1]
+    return Piece(x0, x + K, y0, y + K, equal + K)
+
+
+def _extended(chain: list[tuple[int, int]], equal: int, a: np.ndarray, b: np.ndarray) -> Piece:
+    """The same with what goes on alike at both ends."""
+    (x0, y0), (x, y) = chain[0], chain[-1]
+    left, before = _extend(a[:x0][::-1], b[:y0][::-1])
+    right, after = _extend(a[x:], b[y:])
+    return Piece(x0 - left, x + right, y0 - left, y + right, before + equal + after)
+
+
+def _alike(p: Piece) -> bool:
+    return p.equal >= IDENTITY * max(p.last - p.first, p.there_last - p.there)
+
+
+def segments(chain: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> Iterator[Piece]:
+    """The chain's alike pieces; a and b are the documents' words.
+
+    A chain that is alike as a whole is one piece, unless a stretch between two
+    matches is not alike and what lies on either side is a passage by itself.
+    Any other chain is cut at the stretch with the most differing words, and
+    both sides are judged by themselves.
+    """
+    steps = list(zip(chain, chain[1:]))
+    equal = [_common(a[x:nx], b[y:ny]) for (x, y), (nx, ny) in steps]
+    longest = [max(nx - x, ny - y) for (x, y), (nx, ny) in steps]
+    other = [n - e for n, e in zip(longest, equal, strict=True)]
+    total = np.concatenate([[0], np.cumsum(equal)]).astype(int).tolist()
+
+    def whole(first: int, last: int) -> Piece:
+        return _extended(chain[first:last], total[last - 1] - total[first], a, b)
+
+    def is_passage(first: int, last: int) -> bool:
+        p = whole(first, last)
+        return last - first >= LEAST_SEEDS and p.last - p.first >= LEAST_WORDS and _alike(p)
+
+    todo = [(0, len(chain))]
+    while todo:
+        first, last = todo.pop()
+        if last - first < LEAST_SEEDS:
+            continue
+        by_other = sorted(range(first, last - 1), key=lambda i: (-other[i], i))
+        found = next((p for p in (whole(first, last), _core(chain[first:last], total[last - 1] - total[first])) if _alike(p)), None)
+        at = by_other[0]
+        if found:
+            unlike = (i for i in by_other if other[i] > max(LEAST_PIECE, (1 - IDENTITY) * longest[i]))
+            at = next((i for i in unlike if is_passage(first, i + 1) and is_passage(i + 1, last)), -1)
+            if at < 0:
+                yield found
+                continue
+        todo += [(at + 1, last), (first, at + 1)]
 
 
 def word_codes(docs: DataFrame) -> DataFrame:
@@ -211,10 +255,7 @@ def pieces(docs: DataFrame) -> DataFrame:
             for doc, source, m, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
                 for chain in chains([(x["at"], x["there"]) for x in m]):
-                    p = align(chain, a, b)
-                    longest = max(p.last - p.first, p.there_last - p.there)
-                    if p.last - p.first >= LEAST_PIECE and p.equal >= IDENTITY * longest:
-                        out.append((doc, p.first, p.last, source, p.there, p.there_last, p.equal))
+                    out += [(doc, p.first, p.last, source, p.there, p.there_last, p.equal) for p in segments(chain, a, b) if p.last - p.first >= LEAST_PIECE]
             if out:
                 yield pa.record_batch([pa.array([r[i] for r in out], pa.int64() if i in (0, 3) else pa.int32()) for i in range(7)], names=[x.split()[0] for x in PIECES.split(", ")])
 

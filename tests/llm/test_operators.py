@@ -210,6 +210,36 @@ def test_chains_are_ordered_and_disjoint():
     assert len(used) == len(set(used))
 
 
+def test_passages_with_differing_words_between(spark):
+    """Two exact passages of one pair of documents, against all runs of equal words."""
+    texts, expected = [], {}
+    for k, gap in enumerate([25, 40, 60, 90, 140, 200, 700]):
+        a, b = (prose(100 + 2 * k + i, 60) for i in range(2))
+        for side in "xy":
+            texts.append(f"{a} {' '.join(f'{side}{k}_{j}' for j in range(gap))} {b}".split())
+        first, second = texts[-2:]
+        same = [i for i in range(len(first)) if first[i] == second[i]]
+        starts = [i for i in same if i - 1 not in same]
+        expected[2 * k + 1] = {(i, next(n for n in range(1, len(first)) if i + n not in same)) for i in starts}
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = collections.defaultdict(set)
+    for r in passages.passages(table).collect():
+        found[r["doc_id"]].add((r["first_word"], r["n_words"]))
+    assert found == expected
+
+
+def test_gaps_are_compared_whole():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 5), (30, 30), (80, 61), (700, 650)):
+        a, b = rng.integers(0, 12, n), rng.integers(0, 12, m)
+        row = [0] * (m + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        assert passages._common(a, b) == row[-1]
+
+
 def test_toxicity(spark):
     bad = ["idiot", "moron"]
     rows = [(i, f"{prose(i, 60)} {bad[i % 2]} {prose(i + 1000, 20)} {bad[(i + 1) % 2]}" if i % 4 == 0 else prose(i, 80), int(i % 4 == 0)) for i in range(160)]
