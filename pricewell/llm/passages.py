@@ -1,9 +1,11 @@
 """Operator 10: repeated passages by collinear chaining of shared word k-mers.
 
 Each document gives the least k-mer of every window of k-mers as a seed, so two
-equal runs of WINDOW + K - 1 words share a seed. Every seed is joined with its
-first place in the corpus; a seed's places number linearly, whatever its
-frequency. Matches of a document with another are chained in order of both,
+equal runs of WINDOW + K - 1 words share a seed. Every seed, and the run of
+LEAST_PIECE words that begins with it, is joined with its first place in the
+corpus and with the nearest earlier document that has it; a seed's places number
+linearly, whatever its frequency. Seeds of one passage may have their first
+places in different documents, but a run's place is a piece by itself. Matches of a document with another are chained in order of both,
 with gap costs, through a Fenwick tree of prefix maxima; chains are aligned word
 by word, cut where they are not alike and extended at their ends. Aligned pieces of one document that touch
 make one passage.
@@ -12,6 +14,7 @@ make one passage.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.llm.shared import packed, stored
-from pricewell.llm.words import Words, inside, ngrams, word_ends, words
+from pricewell.llm.words import Words, inside, mix, ngrams, word_ends, words
 
 K = 6
 WINDOW = 12
@@ -58,13 +61,26 @@ def seed_places(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
+def run_places(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the words that begin LEAST_PIECE words of one text, and the hash of these words."""
+    whole = inside(w.offsets, len(w.hashes), LEAST_PIECE)
+    at = at[at < len(whole)]
+    at = at[whole[at]]
+    out = np.zeros(len(at), np.uint64)
+    for i in range(LEAST_PIECE):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + w.hashes[at + i]
+    return at, mix(out)
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """h, doc_id, at."""
+    """h, doc_id, at: seeds (even h) and the runs that begin with them (odd h)."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column(1)):
                 at, h = seed_places(w)
+                starts, runs = run_places(w, at)
+                at, h = np.concatenate([at, starts]), np.concatenate([h & ~np.uint64(1), runs | np.uint64(1)])
                 of = np.searchsorted(w.offsets, at, "right") - 1
                 own = batch.column(0).slice(w.first, len(w)).take(pa.array(of))
                 yield pa.record_batch([pa.array(h.view(np.int64)), own, pa.array((at - w.offsets[of]).astype(np.int32))], names=["h", "doc_id", "at"])
@@ -72,6 +88,49 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(task, "h long, doc_id long, at int")
 
 
+MATCHES = "doc_id long, at int, source long, there int, run boolean"
+
+
+def matches(places: DataFrame) -> DataFrame:
+    """Every place of a seed or run with its first place and with the last place in the document before, where these are other documents.
+
+    Tasks read the places in order and keep three of them at most between batches.
+    """
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(kept[0])
+            h, doc, at = (np.concatenate([k, c.to_numpy()]) for k, c in zip(kept, batch.columns, strict=True))
+            i = np.arange(len(h))
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            first = np.maximum.accumulate(np.where(new, i, 0))
+            new[1:] |= doc[1:] != doc[:-1]
+            before = np.maximum.accumulate(np.where(new, i, 0)) - 1
+            for source, mine in ((first, doc != doc[first]), (before, (before >= first) & (doc[before] != doc[first]))):
+                mine = np.flatnonzero(mine & (i >= old))
+                if len(mine):
+                    yield pa.record_batch([pa.array(x) for x in (doc[mine], at[mine], doc[source[mine]], at[source[mine]], h[mine] & 1 == 1)], names=[x.split()[0] for x in MATCHES.split(", ")])
+            last = np.unique([first[-1], max(before[-1], first[-1]), len(h) - 1])
+            kept = (h[last], doc[last], at[last])
+
+    return places.repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(task, MATCHES)
+
+
+def anchors(found: list[dict]) -> list[tuple[int, int]]:
+    """The seeds' matches of two documents, and LEAST_SEEDS matches within each equal run that has fewer."""
+    out = {(m["at"], m["there"]) for m in found if not m["run"]}
+    reach = LEAST_PIECE - K
+    more = set()
+    for x, y in ((m["at"], m["there"]) for m in found if m["run"]):
+        if sum((x + i, y + i) in out for i in range(reach + 1)) < LEAST_SEEDS:
+            more.update((x + i, y + i) for i in range(0, reach + 1, reach // (LEAST_SEEDS - 1)))
+    return list(out | more)
+
+
 class Fenwick:
     """Prefix maxima of (score, index)."""
 
@@ -133,18 +192,32 @@ class Piece(NamedTuple):
 
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """How far two runs go on alike from their beginnings, and how many words are equal there."""
-    n = min(len(a), len(b))
-    if not n:
-        return 0, 0
-    same = a[:n] == b[:n]
-    walk = np.cumsum(np.where(same, 1, -2))
-    peak = np.maximum.accumulate(np.maximum(walk, 0))
-    stop = np.flatnonzero(peak - walk > 6)
-    end = int(stop[0]) if len(stop) else n
-    if not end or walk[:end].max() <= 0:
-        return 0, 0
-    far = int(walk[:end].argmax()) + 1
-    return far, int(same[:far].sum())
+    walk = best = equal = far = kept = 0
+    for i, (x, y) in enumerate(zip(a[:24].tolist(), b[:24].tolist()), 1):  # most walks end here
+        if x == y:
+            walk, equal = walk + 1, equal + 1
+            if walk > best:
+                best, far, kept = walk, i, equal
+        else:
+            walk -= 2
+            if best - walk > 6:
+                return far, kept
+    whole, n = min(len(a), len(b)), 128
+    if whole <= 24:
+        return far, kept
+    while True:
+        n = min(n, whole)
+        same = a[:n] == b[:n]
+        walk = np.where(same, 1, -2).cumsum()
+        peak = np.maximum.accumulate(np.maximum(walk, 0))
+        stop = peak - walk > 6
+        end = int(stop.argmax())
+        if stop[end] or n == whole:
+            if not stop[end]:
+                end = n
+            far = int(walk[:end].argmax()) + 1
+            return (far, int(np.count_nonzero(same[:far]))) if walk[far - 1] > 0 else (0, 0)
+        n *= 8
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -192,10 +265,10 @@ def segments(chain: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> Iter
     both sides are judged by themselves.
     """
     steps = list(zip(chain, chain[1:]))
-    equal = [_common(a[x:nx], b[y:ny]) for (x, y), (nx, ny) in steps]
+    equal = [nx - x if nx - x == ny - y <= K else _common(a[x:nx], b[y:ny]) for (x, y), (nx, ny) in steps]
     longest = [max(nx - x, ny - y) for (x, y), (nx, ny) in steps]
     other = [n - e for n, e in zip(longest, equal, strict=True)]
-    total = np.concatenate([[0], np.cumsum(equal)]).astype(int).tolist()
+    total = [0, *accumulate(equal)]
 
     def whole(first: int, last: int) -> Piece:
         return _extended(chain[first:last], total[last - 1] - total[first], a, b)
@@ -209,15 +282,15 @@ def segments(chain: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> Iter
         first, last = todo.pop()
         if last - first < LEAST_SEEDS:
             continue
-        by_other = sorted(range(first, last - 1), key=lambda i: (-other[i], i))
         found = next((p for p in (whole(first, last), _core(chain[first:last], total[last - 1] - total[first])) if _alike(p)), None)
-        at = by_other[0]
         if found:
-            unlike = (i for i in by_other if other[i] > max(LEAST_PIECE, (1 - IDENTITY) * longest[i]))
-            at = next((i for i in unlike if is_passage(first, i + 1) and is_passage(i + 1, last)), -1)
+            unlike = [i for i in range(first, last - 1) if other[i] > max(LEAST_PIECE, (1 - IDENTITY) * longest[i])]
+            at = next((i for i in sorted(unlike, key=lambda i: (-other[i], i)) if is_passage(first, i + 1) and is_passage(i + 1, last)), -1)
             if at < 0:
                 yield found
                 continue
+        else:
+            at = max(range(first, last - 1), key=lambda i: (other[i], -i))
         todo += [(at + 1, last), (first, at + 1)]
 
 
@@ -236,12 +309,11 @@ PIECES = "doc_id long, first int, last int, source_doc_id long, source_first int
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """Aligned pieces of every document with the document that has their seeds first."""
+    """Aligned pieces of every document with documents of smaller id."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    all_seeds = stored(seeds(docs), "seeds")
-    first = all_seeds.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("other")).where("f.doc_id != other").select("h", F.col("f.doc_id").alias("source"), F.col("f.at").alias("there"))
-    matches = all_seeds.join(first, "h").where("doc_id != source")
-    grouped = matches.groupBy("doc_id", "source").agg(F.collect_list(F.struct("at", "there")).alias("m")).where(F.size("m") >= LEAST_SEEDS)
+    found = matches(seeds(docs))
+    enough = (F.size("m") >= LEAST_SEEDS) | F.exists("m", lambda m: m["run"])
+    grouped = found.groupBy("doc_id", "source").agg(F.collect_list(F.struct("at", "there", "run")).alias("m")).where(enough)
     grouped = stored(grouped, "matches")
 
     ids = stored(grouped.select(F.explode(F.array("doc_id", "source")).alias("doc_id")).distinct(), "ids")
@@ -254,7 +326,7 @@ def pieces(docs: DataFrame) -> DataFrame:
             out = []
             for doc, source, m, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                for chain in chains([(x["at"], x["there"]) for x in m]):
+                for chain in chains(anchors(m)):
                     out += [(doc, p.first, p.last, source, p.there, p.there_last, p.equal) for p in segments(chain, a, b) if p.last - p.first >= LEAST_PIECE]
             if out:
                 yield pa.record_batch([pa.array([r[i] for r in out], pa.int64() if i in (0, 3) else pa.int32()) for i in range(7)], names=[x.split()[0] for x in PIECES.split(", ")])

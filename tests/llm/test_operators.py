@@ -228,6 +228,34 @@ def test_passages_with_differing_words_between(spark):
     assert found == expected
 
 
+def test_passages_whose_seeds_have_other_first_places(spark):
+    """Three lines of 18 words stand in documents of their own, before and between the two that share all 54 words."""
+    for seed in (200, 210, 220):
+        lines = [prose(seed + i, 18) for i in range(3)]
+        texts = {i: f"{prose(seed + 1000 + i, 40)} {line} {prose(seed + 2000 + i, 40)}" for i, line in [*enumerate(lines, 1), *enumerate(lines, 20)]}
+        texts |= {i: f"{prose(seed + 3000 + i, 33)} {' '.join(lines)} {prose(seed + 4000 + i, 30)}" for i in (8, 30)}
+        table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+        [row] = passages.passages(table).collect()
+        assert (row["doc_id"], row["source_doc_id"]) == (30, 8) and abs(row["first_word"] - 33) <= 1 and abs(row["n_words"] - 54) <= 1
+
+
+def test_matches_across_batches(spark):
+    """First and nearest earlier documents of every place, whatever the batches, against all pairs."""
+    rng = np.random.default_rng(11)
+    rows = sorted({(int(h), int(d), int(a)) for h, d, a in zip(rng.integers(0, 6, 300), rng.integers(0, 25, 300), rng.integers(0, 4, 300))})
+    expected = set()
+    for h, d, a in rows:
+        earlier = [r for r in rows if r[0] == h and r[1] < d]
+        expected |= {(d, a, *r[1:], h % 2 == 1) for r in ([earlier[0], earlier[-1]] if earlier and earlier[-1][1] != earlier[0][1] else earlier[:1])}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = {tuple(r) for r in passages.matches(spark.createDataFrame(rows, "h long, doc_id long, at int")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == expected
+
+
 def test_gaps_are_compared_whole():
     rng = np.random.default_rng(3)
     for n, m in ((0, 5), (30, 30), (80, 61), (700, 650)):
