@@ -180,6 +180,17 @@ def test_lm_tail_equals_head(docs, monkeypatch):
     assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm.score(docs, training).collect()} == whole
 
 
+@pytest.mark.parametrize(("bits", "per_entry"), [(0, 10), (1 << 22, 20_000)])
+def test_lm_scores_do_not_depend_on_the_bound(docs, monkeypatch, bits, per_entry):
+    """N-grams that the filter has no room for keep their counts."""
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    scores = lambda: sorted((r["doc_id"] or -1, round(r["score"], 6)) for r in lm.score(docs, training).collect())
+    whole = scores()
+    monkeypatch.setattr(lm, "MOST_BITS", bits)
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", per_entry)
+    assert scores() == whole
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(1, "Tom has 12 apples and gives 5 apples to Anna so how many apples remain with him after 3 days of this"), (2, None), (3, "short item")], "item_id long, text string")
     rows = [(1, "Before. Tom has 47 apples and gives 9 apples to Maria so how many apples remain with him after 8 weeks of this. After"), (2, "unrelated words only"), (3, None)]
