@@ -1,18 +1,21 @@
 """Operator 5: exact n-gram Jaccard join with token-combination prefixes.
 
 A document is its set of word n-grams; equal sets are one class. In a fixed
-order of the grams (common ones last, then by hash) two sets that are similar
-enough share a gram within their prefixes. Prefix grams that few sets have are
-indexed alone. Sets whose prefix holds a frequent gram are extended to the whole
-set and indexed by combinations: a hash deals the grams into so many parts that
-similar sets must agree on one part, all of its grams together. Candidates pass
-a parity bitmap, whose distance never exceeds the sets' true difference, and are
-then verified on the sets themselves.
+order of the grams (frequent ones last, then by hash) two sets that are similar
+enough share a gram within their prefixes. A first pass counts the grams of
+slightly longer prefixes in order of hash; those that more than RARE sets have
+are frequent, so prefixes extend past them and index rare grams alone. Sets with
+too few rare grams for a prefix, or with a frequent gram that the count did not
+show, are indexed by combinations of the whole set: a hash deals the grams into
+so many parts that similar sets must agree on one part, all of its grams
+together. Candidates pass a parity bitmap, whose distance never exceeds the
+sets' true difference, and are then verified on the sets themselves.
 
 A group of the index yields all its pairs only up to RARE members. Of a larger
-group each member is paired with one leader; members that then still lie
-in different components are compared block by block, so no link between
-components is lost.
+group each member is paired with one leader; members that then still lie outside
+the leader's component are compared with all others block by block, so no link
+between components is lost. Which grams count as frequent changes the amount of
+work, never the result.
 """
 
 from __future__ import annotations
@@ -21,25 +24,28 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.llm.graph import components
-from pricewell.llm.shared import packed, stored
+from pricewell.llm.shared import most_frequent, packed, released, stored, trimmed
 from pricewell.llm.words import Words, inside, mix, ngrams, words
 
 #: Members of an index group up to which all its pairs are candidates.
 RARE = 32
-#: A gram is common if one in so many documents has it. Only the order of grams depends on it.
-COMMON_SHARE = 2000
-#: Common grams that are kept at most, 8 bytes each in every task.
+#: Frequent grams whose order is last at most, 8 bytes each in every task; rarer ones beyond them lead to combinations.
 MOST_COMMON = 1_000_000
+#: The counted prefix is longer by a part of the prefix and by so many grams.
+MARGIN_PART, MARGIN = 4, 8
 #: Members of a block of a large group; blocks are compared as a whole, and only pairs that may be similar become rows.
 BLOCK = 256
 #: Grams counted at once within a task.
 RUN = 4_000_000
 #: Representatives up to which their ids are broadcast to pick their texts.
 BROADCAST_IDS = 1_000_000
+#: Rows of an Arrow batch where rows hold whole sets or blocks.
+SET_ROWS, BLOCK_ROWS = 1000, 16
 
 
 class Rule:
@@ -124,86 +130,109 @@ def combinations(s: np.ndarray, rule: Rule) -> Iterator[np.ndarray]:
             yield mix(mix(empty.astype(np.uint64) + seed) ^ np.uint64(0xA0761D6478BD642F))
 
 
-MEASURED = "doc_id long, n long, key long, bitmap binary, gram long, times long"
+MEASURED = "doc_id long, n long, key long, bitmap binary"
 
 
 def measure(docs: DataFrame, rule: Rule) -> DataFrame:
-    """A row a document (n 0 and a null key without words), and rows with gram and times: grams that a task met often."""
+    """A row a document; n is 0 and the key null without words."""
 
+    @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, size, n_docs = [], 0, 0
-
-        def often() -> Iterator[pa.RecordBatch]:
-            if run:
-                grams, times = np.unique(np.concatenate(run), return_counts=True)
-                many = times >= max(8, n_docs // COMMON_SHARE)
-                none = pa.nulls(int(many.sum()), pa.int64())
-                yield pa.record_batch([none, none, none, pa.nulls(len(none), pa.binary()), pa.array(grams[many].view(np.int64)), pa.array(times[many])], names=["doc_id", "n", "key", "bitmap", "gram", "times"])
-
         for batch in batches:
             for w in words(batch.column(1)):
                 sets = list(gram_sets(w, rule.n))
-                none = pa.nulls(len(w), pa.int64())
-                sizes = np.array([len(s) for s in sets], np.int64)
                 keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
                 maps = pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield pa.record_batch([batch.column(0).slice(w.first, len(w)), pa.array(sizes), keys, maps, none, none], names=["doc_id", "n", "key", "bitmap", "gram", "times"])
-                run += sets
-                size += int(sizes.sum())
-                n_docs += len(w)
-                if size >= RUN:
-                    yield from often()
-                    run, size, n_docs = [], 0, 0
-        yield from often()
+                yield pa.record_batch([batch.column(0).slice(w.first, len(w)), pa.array([len(s) for s in sets], pa.int64()), keys, maps], names=["doc_id", "n", "key", "bitmap"])
 
     return docs.mapInArrow(task, MEASURED)
 
 
-POSTINGS = "h long, key long, n long, at int, alone boolean"
+def _new_sets(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Runs of (key, set) of a task's texts (column 1), each class once."""
+    seen: set[int] = set()
+    for batch in batches:
+        for w in words(batch.column(1)):
+            out = []
+            for s in gram_sets(w, n):
+                if len(s) and (key := set_key(s)) not in seen:
+                    seen.add(key)
+                    out.append((key, s))
+            yield out
+
+
+def early_counts(docs: DataFrame, rule: Rule) -> DataFrame:
+    """h, n: in how many sets a gram is among the first ones by hash, a little more than a prefix; partial sums by task."""
+
+    @trimmed
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, size = [], 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if run:
+                grams, times = np.unique(np.concatenate(run), return_counts=True)
+                for i in range(0, len(grams), 200_000):
+                    yield pa.record_batch([pa.array(grams[i : i + 200_000].view(np.int64)), pa.array(times[i : i + 200_000])], names=["h", "n"])
+
+        for sets in _new_sets(batches, rule.n):
+            for _, s in sets:
+                most = rule.prefix(len(s))
+                run.append(s[: most + most // MARGIN_PART + MARGIN])
+                size += len(run[-1])
+            if size >= RUN:
+                yield from counted()
+                run, size = [], 0
+        yield from counted()
+
+    return docs.mapInArrow(task, "h long, n long")
+
 
+POSTINGS = "h long, key long, n int, at int"
 
-def _table(parts: list[tuple[np.ndarray, int, int, bool]]) -> pa.RecordBatch:
-    """Rows of POSTINGS; a part is hashes, key, n, alone."""
+
+def _table(parts: list[tuple[np.ndarray, int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of POSTINGS; a part is hashes, key, n, places in the prefix."""
     sizes = [len(p[0]) for p in parts]
     flat = np.concatenate([p[0] for p in parts]).view(np.int64)
     of = lambda i, kind: np.repeat(np.array([p[i] for p in parts], kind), sizes)
-    at = np.concatenate([np.arange(n) for n in sizes]).astype(np.int32)
-    return pa.record_batch([pa.array(flat), pa.array(of(1, np.int64)), pa.array(of(2, np.int64)), pa.array(at), pa.array(of(3, bool))], names=["h", "key", "n", "at", "alone"])
+    at = np.concatenate([p[3] for p in parts]).astype(np.int32)
+    return pa.record_batch([pa.array(flat), pa.array(of(1, np.int64)), pa.array(of(2, np.int32)), pa.array(at)], names=["h", "key", "n", "at"])
 
 
-def index(docs: DataFrame, rule: Rule, common: np.ndarray | None) -> DataFrame:
-    """Postings of all documents: prefix grams alone, and combinations of sets with a common gram in the prefix. common None: combinations of all."""
+def index_grams(docs: DataFrame, rule: Rule, common: Broadcast) -> DataFrame:
+    """Postings of prefix grams that aren't frequent; a set with too few of them also gives a row with its key as h and a place of -1."""
 
+    @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for w in words(batch.column(1)):
-                out = []
-                for s in gram_sets(w, rule.n):
-                    if not len(s) or (key := set_key(s)) in seen:
-                        continue
-                    seen.add(key)
-                    n = len(s)
-                    if common is not None:
-                        late = np.zeros(n, bool)
-                        if len(common):
-                            late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                        prefix = s[~late][: rule.prefix(n)]
-                        if len(prefix):
-                            out.append((prefix, key, n, True))
-                        if len(prefix) == rule.prefix(n):
-                            continue
-                    out += [(c, key, n, False) for c in combinations(s, rule)]
-                if out:
-                    yield _table(out)
+        frequent = common.value
+        for sets in _new_sets(batches, rule.n):
+            out = []
+            for key, s in sets:
+                late = np.zeros(len(s), bool)
+                if len(frequent):
+                    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+                whole = rule.prefix(len(s))
+                prefix = s[~late][:whole]
+                out.append((prefix, key, len(s), np.arange(len(prefix))))
+                if len(prefix) < whole:
+                    out.append((np.array([key], np.int64).view(np.uint64), key, len(s), np.array([-1])))
+            if out:
+                yield _table(out)
 
     return docs.mapInArrow(task, POSTINGS)
 
 
-def _groups(postings: DataFrame) -> DataFrame:
-    """Postings of groups of two or more classes, with the group's size c."""
-    rows = postings.repartition("h").dropDuplicates(["h", "key"])
-    return rows.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c >= 2")
+def index_combinations(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Postings of the combinations of all sets; the place means nothing."""
+
+    @trimmed
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets in _new_sets(batches, rule.n):
+            out = [(c, key, len(s), np.zeros(len(c))) for key, s in sets for c in combinations(s, rule)]
+            if out:
+                yield _table(out)
+
+    return docs.mapInArrow(task, POSTINGS)
 
 
 class Join:
@@ -212,13 +241,15 @@ class Join:
     def __init__(self, docs: DataFrame, n: int, percent: int) -> None:
         self.rule = Rule(n, percent)
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        measured = stored(measure(self.docs, self.rule), "sets")
-        self.measured = measured.where("n is not null").select("doc_id", "n", "key", "bitmap")
-        often = measured.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times"))
-        n_docs = self.measured.count()
-        common = often.where(F.col("times") >= max(2 * RARE, n_docs // COMMON_SHARE)).orderBy(F.desc("times"), "gram").limit(MOST_COMMON)
-        self.common = np.sort(np.array([r["gram"] for r in common.select("gram").collect()], np.int64).view(np.uint64))
-        self.classes = stored(self.measured.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"), F.first("bitmap").alias("bitmap")), "classes")
+        self.measured = stored(measure(self.docs, self.rule), "sets")
+        self.classes = stored(self.measured.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bitmap").alias("bitmap")), "classes")
+
+    def frequent(self) -> Broadcast:
+        """The grams that more than RARE sets have early, sorted; MOST_COMMON at most."""
+        counts = stored(early_counts(self.docs, self.rule).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > RARE), "frequent")
+        kept = most_frequent(counts, MOST_COMMON, counts.count()).select("h").toArrow()
+        released(counts)
+        return self.docs.sparkSession.sparkContext.broadcast(np.sort(kept.column(0).to_numpy().view(np.uint64)))
 
     def texts(self, keys: DataFrame) -> DataFrame:
         """Documents (doc_id, text) that stand for the keys' classes."""
@@ -229,6 +260,7 @@ class Join:
     def sets(self, keys: DataFrame) -> DataFrame:
         n = self.rule.n
 
+        @trimmed
         def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for w in words(batch.column(1)):
@@ -245,6 +277,7 @@ class Join:
             pairs = pairs.join(maps.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"map_{side}")), side)
         rows = pairs.select("a", "b", "n_a", "n_b", "map_a", "map_b")
 
+        @trimmed
         def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 total = [x + y for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -261,6 +294,7 @@ class Join:
             pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("grams").alias(f"set_{side}")), side)
         percent = self.rule.percent
 
+        @trimmed
         def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ok = []
@@ -274,58 +308,65 @@ class Join:
 
     def pairs(self, groups: DataFrame) -> DataFrame:
         """Pairs of members of each group that sizes and places allow."""
-        a = groups.select("h", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), "alone")
+        a = groups.select("h", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
         b = groups.select("h", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
         p = self.rule.percent
         rows = a.join(b, "h").where("a < b").where((F.greatest("n_a", "n_b") * p <= F.least("n_a", "n_b") * 100))
-        most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-        return rows.where(~F.col("alone") | (most * (100 + p) >= (F.col("n_a") + F.col("n_b")) * p)).select("a", "b").distinct()
+        most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        return rows.where(most * (100 + p) >= (F.col("n_a") + F.col("n_b")) * p).select("a", "b").distinct()
+
+    def groups(self) -> tuple[DataFrame, DataFrame]:
+        """Postings of groups up to RARE, and the members (h, key, n, c, lead) of larger ones; lead is the group's smallest key."""
+        rows = index_grams(self.docs, self.rule, self.frequent()).repartition("h").distinct()
+        single = stored(rows.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c >= 2 or at < 0"), "groups")
+        frequent = single.where((F.col("c") > RARE) | (F.col("at") < 0)).select("key")
+        combined = stored(index_combinations(self.texts(frequent), self.rule).distinct(), "combinations")
+        sizes = combined.groupBy("h").agg(F.count("*").alias("c"), F.min("key").alias("lead")).where("c >= 2")
+        members = stored(combined.join(sizes, "h"), "groups")
+        released(combined)
+        small = single.where((F.col("c") <= RARE) & (F.col("at") >= 0)).select("h", "key", "n", "at")
+        return small.unionByName(members.where(F.col("c") <= RARE).select("h", "key", "n", "at")), members.where(F.col("c") > RARE).drop("at")
 
     def labels(self) -> DataFrame:
         """key, root of every class that is linked with another; root is a key."""
-        postings = stored(index(self.docs, self.rule, self.common), "postings")
-        single = stored(_groups(postings.where("alone")), "groups")
-        frequent = single.where(F.col("c") > RARE).select("key").distinct()
-        more = index(self.texts(frequent), self.rule, None)
-        combined = stored(_groups(postings.where("not alone").unionByName(more)), "groups")
-        large = combined.where(F.col("c") > RARE)
-        leaders = large.groupBy("h").agg(F.min("key").alias("a"))
-        stars = large.join(leaders, "h").where("key != a").select("a", F.col("key").alias("b"))
-        pairs = self.pairs(single.where(F.col("c") <= RARE)).unionByName(self.pairs(combined.where(F.col("c") <= RARE))).unionByName(stars).distinct()
-        near = stored(self.near(pairs), "near")
+        small, large = self.groups()
+        stars = large.where("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+        near = stored(self.near(self.pairs(small).unionByName(stars).distinct()), "near", SET_ROWS)
         # One link a node first; a pair whose ends that has joined needs no proof.
-        first = near.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
-        links = stored(self.verified(first), "links")
-        links = self.joined(links, near)
+        first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links = self.joined(stored(self.verified(first), "links", SET_ROWS), near)
+        released(near)
         if not large.isEmpty():
             links = self.across(links, large)
         return components(links).select(F.col("node").alias("key"), F.col("component").alias("root"))
 
     def apart(self, links: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs that the links don't connect."""
-        roots = stored(components(links), "roots")
+        roots = components(links)
         for side in "ab":
             pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("component").alias(f"root_{side}")), side, "left")
         return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
     def joined(self, links: DataFrame, near: DataFrame) -> DataFrame:
         rest = stored(self.apart(links, near), "rest")
-        return stored(links.unionByName(self.verified(rest)), "links")
+        return stored(links.unionByName(self.verified(rest)), "links", SET_ROWS)
 
     def across(self, links: DataFrame, large: DataFrame) -> DataFrame:
         """Adds the links between members of large groups that lie in different components so far."""
-        roots = stored(components(links), "roots")
+        roots = components(links)
         rows = large.join(roots.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("root", F.coalesce("component", "key")).drop("component")
-        mixed = rows.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("h")
-        rows = stored(rows.join(mixed, "h", "left_semi"), "mixed")
+        mixed = rows.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min_by("root", "key").alias("main")).where("x != y").select("h", "main")
+        rows = stored(rows.join(mixed, "h"), "mixed")
         own = rows.groupBy("key").agg(F.collect_set("h").alias("groups"))  # as many as the set's parts at most
         rows = rows.join(own, "key").join(self.classes.select("key", "bitmap"), "key")
+        # Members of the leader's component need no comparison with each other, so their blocks meet only blocks of the rest.
         block = F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / BLOCK).cast("long"))
-        blocks = rows.groupBy("h", block.alias("block")).agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("sizes"), F.collect_list("root").alias("roots"), F.collect_list("bitmap").alias("maps"), F.collect_list("groups").alias("groups"))
+        blocks = rows.groupBy("h", (F.col("root") == F.col("main")).alias("inner"), block.alias("block")).agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("sizes"), F.collect_list("root").alias("roots"), F.collect_list("bitmap").alias("maps"), F.collect_list("groups").alias("groups"))
         blocks = stored(blocks, "blocks")
-        a, b = (blocks.select("h", F.col("block").alias(f"block_{x}"), F.struct("keys", "sizes", "roots", "maps", "groups").alias(x)) for x in "ab")
+        a, b = (blocks.select("h", F.col("inner").alias(f"inner_{x}"), F.col("block").alias(f"block_{x}"), F.struct("keys", "sizes", "roots", "maps", "groups").alias(x)) for x in "ab")
         rule = self.rule
 
+        @trimmed
         def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for h, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -333,8 +374,10 @@ class Join:
                     if found:
                         yield pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
-        near = a.join(b, "h").where("block_a <= block_b").select("h", "a", "b").mapInArrow(task, "a long, b long").distinct()
-        return self.joined(links, stored(near, "near"))
+        met = a.join(b, "h").where("not inner_a and (inner_b or block_a <= block_b)").select("h", "a", "b")
+        near = stored(met.mapInArrow(task, "a long, b long").distinct(), "near", BLOCK_ROWS)
+        released(blocks)
+        return self.joined(links, near)
 
 
 class _Block:

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricewell.llm.shared import trimmed
 from pricewell.llm.tokens import ByteBpe
 
 WINDOW = 2048
@@ -146,6 +147,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     times 2^33, plus a count.
     """
 
+    @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 33

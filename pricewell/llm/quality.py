@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricewell.llm.shared import trimmed
 from pricewell.llm.tokens import PieceBpe
 from pricewell.llm.words import Words, inside, line_hashes, mix, ngrams, word_ends, words
 
@@ -155,6 +156,7 @@ def quality(docs: DataFrame, vocabulary: str, bands: dict[str, Band] | None = No
     """
     table = np.array([(bands or BANDS)[s] for s in SCRIPTS])
 
+    @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = PieceBpe(vocabulary)
         is_byte = np.array([tokens.pieces.is_byte(i) for i in range(tokens.pieces.vocab_size())])

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewell.llm.shared import trimmed
 from pricewell.llm.tokens import ByteBpe
 
 KEYS = ["source", "lang", "tokenizer_version"]
@@ -27,6 +28,7 @@ STORED = "batch long, source string, lang string, tokenizer_version string, n_do
 def counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per row of docs: its token count, and a quarter of its bytes as a cheap first estimate. A null text is empty: no tokens."""
 
+    @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = ByteBpe(vocabulary)
         for batch in batches:
