@@ -1,18 +1,24 @@
 """Operator 10: repeated passages by collinear chaining of shared word k-mers.
 
 Each document gives the least k-mer of every window of k-mers as a seed, so two
-equal runs of WINDOW + K - 1 words share a seed. Every seed, and the run of
-LEAST_PIECE words that begins with it, is joined with its first place in the
-corpus and with the nearest earlier document that has it; a seed's places number
-linearly, whatever its frequency. Seeds of one passage may have their first
-places in different documents, but a run's place is a piece by itself. Matches of a document with another are chained in order of both,
-with gap costs, through a Fenwick tree of prefix maxima; chains are aligned word
-by word, cut where they are not alike and extended at their ends. Aligned pieces of one document that touch
-make one passage.
+equal runs of WINDOW + K - 1 words share a seed; of wider windows (RUN_WINDOW)
+it gives the RUN words that begin with the least k-mer, so two equal runs of
+LEAST_WORDS words share such a run. Every seed and run is joined with its first
+place in the corpus and with the nearest earlier document that has it; its
+places number linearly, whatever its frequency, and those of hot ones are split
+by ranges of documents. On request a run that no earlier document has is joined
+with its first place in the document itself.
+
+Matches of a document with another grow to runs of equal words. These are
+chained in order of both documents, with gap costs, through a Fenwick tree of
+prefix maxima; chains are aligned word by word, cut where they are not alike and
+extended at their ends. Aligned pieces of one document that touch make one
+passage, whatever their sources.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 from typing import NamedTuple
@@ -22,113 +28,176 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewell.llm.shared import packed, stored
+from pricewell.llm.shared import packed, released, stored, trimmed
 from pricewell.llm.words import Words, inside, mix, ngrams, word_ends, words
 
 K = 6
 WINDOW = 12
+#: Windows of k-mers whose least one begins a run, and the run's words: together LEAST_WORDS or fewer.
+RUN_WINDOW, RUN = 18, 32
 #: Words that a passage has at least.
 LEAST_WORDS = 50
-#: And a piece of one; pieces have so many seeds and are so alike.
+#: And a piece of one; two documents are compared if they share a run or so many seeds.
 LEAST_PIECE = 20
 LEAST_SEEDS = 3
 IDENTITY = 0.8
-#: Cost of a word in a gap, of either document.
+#: Cost of a word in a gap, of either document. Pieces that lie further apart than LONGEST_GAP are judged by themselves.
 GAP = 0.1
+LONGEST_GAP = 4096
 #: Words between two pieces of one passage at most.
 TOUCH = 2
 #: Documents up to which ids or spans are broadcast.
 BROADCAST_ROWS = 1_000_000
+#: A seed is hot if it makes up one in so many of a part of the documents' seeds; its places are dealt to tasks by ranges of doc_id.
+HOT_SHARE, LEAST_HOT, HOT_PART, HOT_RANGES = 5000, 64, 16, 256
+#: Rows of an Arrow batch where rows hold two documents' words.
+PAIR_ROWS = 500
 
 
-def seed_places(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word index and hash of the seeds of all texts of a run."""
-    grams = ngrams(w.hashes, K)
-    if not len(grams):
-        return np.zeros(0, np.int64), grams
+def least_places(w: Words, grams: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least k-mer of every window of k-mers of each text; of a text with fewer k-mers, of them all."""
     valid = inside(w.offsets, len(w.hashes), K)
     values = np.where(valid, grams, np.uint64(0xFFFFFFFFFFFFFFFF))
     chosen = np.zeros(len(values), bool)
-    if len(values) >= WINDOW:
-        view = np.lib.stride_tricks.sliding_window_view(values, WINDOW)
-        full = np.flatnonzero(inside(w.offsets, len(w.hashes), K + WINDOW - 1)[: len(view)])
+    if len(values) >= window:
+        view = np.lib.stride_tricks.sliding_window_view(values, window)
+        full = np.flatnonzero(inside(w.offsets, len(w.hashes), K + window - 1)[: len(view)])
         chosen[full + view[full].argmin(axis=1)] = True
     counts = np.diff(w.offsets) - K + 1
-    for i in np.flatnonzero((counts > 0) & (counts < WINDOW)).tolist():  # texts of less than a window
+    for i in np.flatnonzero((counts > 0) & (counts < window)).tolist():
         a = int(w.offsets[i])
         chosen[a + int(values[a : a + counts[i]].argmin())] = True
-    at = np.flatnonzero(chosen & valid)
-    return at, grams[at]
+    return np.flatnonzero(chosen & valid)
 
 
-def run_places(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the words that begin LEAST_PIECE words of one text, and the hash of these words."""
-    whole = inside(w.offsets, len(w.hashes), LEAST_PIECE)
-    at = at[at < len(whole)]
-    at = at[whole[at]]
-    out = np.zeros(len(at), np.uint64)
-    for i in range(LEAST_PIECE):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + w.hashes[at + i]
-    return at, mix(out)
+def seed_places(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word index and hash of the seeds (even) and runs (odd) of all texts of a run of texts."""
+    grams = ngrams(w.hashes, K)
+    if not len(grams):
+        return np.zeros(0, np.int64), grams
+    at = least_places(w, grams, WINDOW)
+    starts = least_places(w, grams, RUN_WINDOW)
+    whole = inside(w.offsets, len(w.hashes), RUN)
+    starts = starts[starts < len(whole)]
+    starts = starts[whole[starts]]
+    runs = np.zeros(len(starts), np.uint64)
+    for i in range(RUN):
+        runs = runs * np.uint64(0xD6E8FEB86659FD93) + w.hashes[starts + i]
+    return np.concatenate([at, starts]), np.concatenate([grams[at] & ~np.uint64(1), mix(runs) | np.uint64(1)])
+
 
+PLACES = "h long, part int, doc_id long, at int"
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """h, doc_id, at: seeds (even h) and the runs that begin with them (odd h)."""
 
+def seeds(docs: DataFrame, hot: np.ndarray | None = None, bounds: np.ndarray | None = None) -> DataFrame:
+    """Rows of PLACES: seeds and runs; part is 0, of a hot one 1 and more by the range of doc_id."""
+    hot = np.zeros(0, np.int64) if hot is None else hot
+
+    @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column(1)):
                 at, h = seed_places(w)
-                starts, runs = run_places(w, at)
-                at, h = np.concatenate([at, starts]), np.concatenate([h & ~np.uint64(1), runs | np.uint64(1)])
+                h = h.view(np.int64)
                 of = np.searchsorted(w.offsets, at, "right") - 1
                 own = batch.column(0).slice(w.first, len(w)).take(pa.array(of))
-                yield pa.record_batch([pa.array(h.view(np.int64)), own, pa.array((at - w.offsets[of]).astype(np.int32))], names=["h", "doc_id", "at"])
+                part = np.zeros(len(h), np.int32)
+                if len(hot):
+                    split = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h)
+                    part[split] = 1 + np.searchsorted(bounds, own.to_numpy()[split])
+                yield pa.record_batch([pa.array(h), pa.array(part), own, pa.array((at - w.offsets[of]).astype(np.int32))], names=["h", "part", "doc_id", "at"])
+
+    return docs.mapInArrow(task, PLACES)
 
-    return docs.mapInArrow(task, "h long, doc_id long, at int")
+
+def hot_seeds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hot seeds, sorted, HOT_SHARE at most, and bounds of ranges of doc_id. From a part of the documents: this decides who works on what, not what is found."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PART)) == 0)
+    counts = stored(seeds(some).groupBy("h").agg(F.count("*").alias("n")), "hot")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("n") > max(total // HOT_SHARE, LEAST_HOT)).select("h").toArrow().column(0).to_numpy()
+    released(counts)
+    if not len(hot):
+        return hot, hot
+    bounds = some.approxQuantile("doc_id", [i / HOT_RANGES for i in range(1, HOT_RANGES)], 1 / HOT_RANGES / 2)
+    return np.sort(hot), np.unique(np.array(bounds, np.int64))
 
 
 MATCHES = "doc_id long, at int, source long, there int, run boolean"
 
 
-def matches(places: DataFrame) -> DataFrame:
+def carried(places: DataFrame) -> DataFrame:
+    """For every range of a hot seed its first place of all and the last place before the range, as rows of PLACES with at turned to -1 - at."""
+    place = F.struct("doc_id", "at")
+    ranges = places.where("part > 0").groupBy("h", "part").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    w = Window.partitionBy("h").orderBy("part")  # HOT_RANGES rows at most
+    ranges = ranges.select("h", "part", F.first("first").over(w).alias("first"), F.lag("last").over(w).alias("last")).where("last is not null")
+    rows = ranges.select("h", "part", F.explode(F.array("first", "last")).alias("p"))
+    return rows.select("h", "part", "p.doc_id", (-1 - F.col("p.at")).cast("int").alias("at"))
+
+
+def matches(places: DataFrame, within: bool = False) -> DataFrame:
     """Every place of a seed or run with its first place and with the last place in the document before, where these are other documents.
 
-    Tasks read the places in order and keep three of them at most between batches.
+    within: a run that stands in no earlier document is matched with its first
+    place in its own. Tasks read the places in order and keep three of them at most
+    between batches.
     """
 
+    @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))
         for batch in batches:
             if not batch.num_rows:
                 continue
             old = len(kept[0])
-            h, doc, at = (np.concatenate([k, c.to_numpy()]) for k, c in zip(kept, batch.columns, strict=True))
+            h, part, doc, at = (np.concatenate([k, c.to_numpy()]) for k, c in zip(kept, batch.columns, strict=True))
+            own, place = at >= 0, np.where(at >= 0, at, -1 - at)
             i = np.arange(len(h))
             new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
+            new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
             first = np.maximum.accumulate(np.where(new, i, 0))
             new[1:] |= doc[1:] != doc[:-1]
             before = np.maximum.accumulate(np.where(new, i, 0)) - 1
-            for source, mine in ((first, doc != doc[first]), (before, (before >= first) & (doc[before] != doc[first]))):
-                mine = np.flatnonzero(mine & (i >= old))
+            wanted, run = own & (i >= old), h & 1 == 1
+            for source, mine in ((first, doc != doc[first]), (before, (before >= first) & (doc[before] != doc[first])), (first, within & run & (doc == doc[first]) & (place > place[first]))):
+                mine = np.flatnonzero(mine & wanted)
                 if len(mine):
-                    yield pa.record_batch([pa.array(x) for x in (doc[mine], at[mine], doc[source[mine]], at[source[mine]], h[mine] & 1 == 1)], names=[x.split()[0] for x in MATCHES.split(", ")])
+                    yield pa.record_batch([pa.array(x) for x in (doc[mine], place[mine], doc[source[mine]], place[source[mine]], run[mine])], names=[x.split()[0] for x in MATCHES.split(", ")])
             last = np.unique([first[-1], max(before[-1], first[-1]), len(h) - 1])
-            kept = (h[last], doc[last], at[last])
+            kept = (h[last], part[last], doc[last], at[last])
 
-    return places.repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(task, MATCHES)
+    return places.repartition("h", "part").sortWithinPartitions("h", "part", "doc_id", "at").mapInArrow(task, MATCHES)
 
 
-def anchors(found: list[dict]) -> list[tuple[int, int]]:
-    """The seeds' matches of two documents, and LEAST_SEEDS matches within each equal run that has fewer."""
-    out = {(m["at"], m["there"]) for m in found if not m["run"]}
-    reach = LEAST_PIECE - K
-    more = set()
-    for x, y in ((m["at"], m["there"]) for m in found if m["run"]):
-        if sum((x + i, y + i) in out for i in range(reach + 1)) < LEAST_SEEDS:
-            more.update((x + i, y + i) for i in range(0, reach + 1, reach // (LEAST_SEEDS - 1)))
-    return list(out | more)
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """Equal words that two runs begin with."""
+    done, n, whole = 0, 32, min(len(a), len(b))
+    while done < whole:
+        n = min(n, whole - done)
+        differ = a[done : done + n] != b[done : done + n]
+        stop = int(differ.argmax())
+        if differ[stop]:
+            return done + stop
+        done, n = done + n, n * 8
+    return whole
+
+
+def equal_runs(found: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, words) of the longest equal runs that hold the matches; matches within a run of LEAST_PIECE words are passed over."""
+    out, reach, ends = [], 0, {}
+    for x, y in sorted(found):
+        if x + K <= reach or ends.get(x - y, -1) >= x + K:
+            continue
+        right = _same(a[x:], b[y:])
+        if right < K:  # rows of one id have other texts
+            continue
+        left = _same(a[:x][::-1], b[:y][::-1])
+        ends[x - y] = x + right
+        out.append((x - left, y - left, left + right))
+        if left + right >= LEAST_PIECE:
+            reach = max(reach, x + right)
+    return out
 
 
 class Fenwick:
@@ -152,34 +221,51 @@ class Fenwick:
         return out
 
 
-def chains(matches: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
-    """Disjoint ordered chains of matches (place here, place there), best first.
+def chains(runs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Disjoint ordered chains of equal runs (place here, place there, words), best first.
 
-    A chain's score is K for each match less GAP for each word of either side
-    that it advances; a match starts a chain of its own where that is better.
+    A chain's score is its runs' words less GAP for each word of either side
+    between them; a run starts a chain of its own where that is better. Runs may
+    overlap by less than K words; a chain's later one gives way.
     """
-    matches = sorted(matches)
-    rank = {y: i + 1 for i, y in enumerate(sorted({y for _, y in matches}))}
+    runs = sorted(runs)
+    if len(runs) == 1:
+        yield runs
+        return
+    ends = [(x + n - min(K - 1, n - 1), y + n - min(K - 1, n - 1)) for x, y, n in runs]
+    rank = {y: i + 1 for i, y in enumerate(sorted({y for _, y in ends} | {y for _, y, _ in runs}))}
     tree, score, back = Fenwick(len(rank)), [], []
-    waiting: list[int] = []
-    for i, (x, y) in enumerate(matches):
-        while waiting and matches[waiting[0]][0] < x:
-            j = waiting.pop(0)
-            tree.put(rank[matches[j][1]], (score[j] + GAP * sum(matches[j]), j))
-        before, j = tree.get(rank[y] - 1)
+    waiting: list[tuple[int, int]] = []
+    for i, (x, y, n) in enumerate(runs):
+        while waiting and waiting[0][0] <= x:
+            _, j = heapq.heappop(waiting)
+            tree.put(rank[ends[j][1]], (score[j] + GAP * sum(ends[j]), j))
+        before, j = tree.get(rank[y])
         gain = before - GAP * (x + y)
-        score.append(K + max(gain, 0.0))
+        if gain > 0 and max(x - ends[j][0], y - ends[j][1]) > LONGEST_GAP:
+            gain = 0.0
+        score.append(n + max(gain, 0.0))
         back.append(j if gain > 0 else -1)
-        waiting.append(i)
-    used = [False] * len(matches)
-    for i in sorted(range(len(matches)), key=lambda i: (-score[i], i)):
-        chain = []
+        heapq.heappush(waiting, (ends[i][0], i))
+    used = [False] * len(runs)
+    for i in sorted(range(len(runs)), key=lambda i: (-score[i], i)):
+        chain: list[tuple[int, int, int]] = []
         while i >= 0 and not used[i]:
             used[i] = True
-            chain.append(matches[i])
+            chain.append(runs[i])
             i = back[i]
-        if len(chain) >= LEAST_SEEDS:
-            yield chain[::-1]
+        if chain:
+            yield _apart(chain[::-1])
+
+
+def _apart(chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    out = chain[:1]
+    for x, y, n in chain[1:]:
+        x0, y0, n0 = out[-1]
+        over = max(x0 + n0 - x, y0 + n0 - y, 0)
+        if over < n:
+            out.append((x + over, y + over, n - over))
+    return out
 
 
 class Piece(NamedTuple):
@@ -238,51 +324,52 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return len(b) - row.bit_count()
 
 
-def _core(chain: list[tuple[int, int]], equal: int) -> Piece:
-    """From the first match to the last one's end; equal counts the words before the last match."""
-    (x0, y0), (x, y) = chain[0], chain[-1]
-    return Piece(x0, x + K, y0, y + K, equal + K)
+def _core(chain: list[tuple[int, int, int]], equal: int) -> Piece:
+    """From the first run to the last one's end."""
+    (x0, y0, _), (x, y, n) = chain[0], chain[-1]
+    return Piece(x0, x + n, y0, y + n, equal)
 
 
-def _extended(chain: list[tuple[int, int]], equal: int, a: np.ndarray, b: np.ndarray) -> Piece:
+def _extended(chain: list[tuple[int, int, int]], equal: int, a: np.ndarray, b: np.ndarray) -> Piece:
     """The same with what goes on alike at both ends."""
-    (x0, y0), (x, y) = chain[0], chain[-1]
+    (x0, y0, _), (x, y, n) = chain[0], chain[-1]
     left, before = _extend(a[:x0][::-1], b[:y0][::-1])
-    right, after = _extend(a[x:], b[y:])
-    return Piece(x0 - left, x + right, y0 - left, y + right, before + equal + after)
+    right, after = _extend(a[x + n :], b[y + n :])
+    return Piece(x0 - left, x + n + right, y0 - left, y + n + right, before + equal + after)
 
 
 def _alike(p: Piece) -> bool:
     return p.equal >= IDENTITY * max(p.last - p.first, p.there_last - p.there)
 
 
-def segments(chain: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> Iterator[Piece]:
+def segments(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray) -> Iterator[Piece]:
     """The chain's alike pieces; a and b are the documents' words.
 
     A chain that is alike as a whole is one piece, unless a stretch between two
-    matches is not alike and what lies on either side is a passage by itself.
-    Any other chain is cut at the stretch with the most differing words, and
-    both sides are judged by themselves.
+    runs is not alike and what lies on either side is a passage by itself. Any
+    other chain is cut at the stretch with the most differing words, and both
+    sides are judged by themselves.
     """
-    steps = list(zip(chain, chain[1:]))
-    equal = [nx - x if nx - x == ny - y <= K else _common(a[x:nx], b[y:ny]) for (x, y), (nx, ny) in steps]
-    longest = [max(nx - x, ny - y) for (x, y), (nx, ny) in steps]
+    gaps = [(x + n, y + n, nx, ny) for (x, y, n), (nx, ny, _) in zip(chain, chain[1:])]
+    equal = [_common(a[x:nx], b[y:ny]) if nx > x and ny > y else 0 for x, y, nx, ny in gaps]
+    longest = [max(nx - x, ny - y) for x, y, nx, ny in gaps]
     other = [n - e for n, e in zip(longest, equal, strict=True)]
-    total = [0, *accumulate(equal)]
+    total = [0, *accumulate(n + e for (_, _, n), e in zip(chain, [*equal, 0], strict=True))]
+
+    def words_of(first: int, last: int) -> int:
+        return total[last] - total[first] - (equal[last - 1] if last <= len(equal) else 0)
 
     def whole(first: int, last: int) -> Piece:
-        return _extended(chain[first:last], total[last - 1] - total[first], a, b)
+        return _extended(chain[first:last], words_of(first, last), a, b)
 
     def is_passage(first: int, last: int) -> bool:
         p = whole(first, last)
-        return last - first >= LEAST_SEEDS and p.last - p.first >= LEAST_WORDS and _alike(p)
+        return p.last - p.first >= LEAST_WORDS and _alike(p)
 
     todo = [(0, len(chain))]
     while todo:
         first, last = todo.pop()
-        if last - first < LEAST_SEEDS:
-            continue
-        found = next((p for p in (whole(first, last), _core(chain[first:last], total[last - 1] - total[first])) if _alike(p)), None)
+        found = next((p for p in (whole(first, last), _core(chain[first:last], words_of(first, last))) if _alike(p)), None)
         if found:
             unlike = [i for i in range(first, last - 1) if other[i] > max(LEAST_PIECE, (1 - IDENTITY) * longest[i])]
             at = next((i for i in sorted(unlike, key=lambda i: (-other[i], i)) if is_passage(first, i + 1) and is_passage(i + 1, last)), -1)
@@ -297,6 +384,7 @@ def segments(chain: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> Iter
 def word_codes(docs: DataFrame) -> DataFrame:
     """doc_id, codes: four bytes of each word's hash."""
 
+    @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column(1)):
@@ -308,43 +396,51 @@ def word_codes(docs: DataFrame) -> DataFrame:
 PIECES = "doc_id long, first int, last int, source_doc_id long, source_first int, source_last int, equal int"
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """Aligned pieces of every document with documents of smaller id."""
+def pieces(docs: DataFrame, within: bool = False) -> DataFrame:
+    """Aligned pieces of every document with documents of smaller id; within: and with earlier places of its own."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = matches(seeds(docs))
+    hot, bounds = hot_seeds(docs)
+    places = seeds(docs, hot, bounds)
+    if len(hot):
+        places = places.unionByName(carried(seeds(docs, hot, bounds)))
+    found = matches(places, within)
     enough = (F.size("m") >= LEAST_SEEDS) | F.exists("m", lambda m: m["run"])
     grouped = found.groupBy("doc_id", "source").agg(F.collect_list(F.struct("at", "there", "run")).alias("m")).where(enough)
-    grouped = stored(grouped, "matches")
+    grouped = stored(grouped.select("doc_id", "source", "m.at", "m.there"), "matches")
 
     ids = stored(grouped.select(F.explode(F.array("doc_id", "source")).alias("doc_id")).distinct(), "ids")
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    codes = stored(word_codes(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "codes")
+    codes = word_codes(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+    codes = stored(codes.groupBy("doc_id").agg(F.max("codes").alias("codes")), "codes")
     rows = grouped.join(codes, "doc_id").join(codes.select(F.col("doc_id").alias("source"), F.col("codes").alias("source_codes")), "source")
 
+    @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, source, m, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, source, at, there, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                for chain in chains(anchors(m)):
+                for chain in chains(equal_runs(list(zip(at, there, strict=True)), a, b)):
                     out += [(doc, p.first, p.last, source, p.there, p.there_last, p.equal) for p in segments(chain, a, b) if p.last - p.first >= LEAST_PIECE]
             if out:
                 yield pa.record_batch([pa.array([r[i] for r in out], pa.int64() if i in (0, 3) else pa.int32()) for i in range(7)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return rows.select("doc_id", "source", "m", "codes", "source_codes").mapInArrow(task, PIECES)
+    return rows.select("doc_id", "source", "at", "there", "codes", "source_codes").mapInArrow(task, PIECES)
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def passages(docs: DataFrame, within: bool = False) -> DataFrame:
     """doc_id, first_word, n_words, source_doc_id, source_first_word, source_n_words, n_equal, n_pieces: a row a repeated passage.
 
     docs: doc_id, text; other columns are ignored. A passage has LEAST_WORDS or
-    more words that stand in documents of smaller id too; the first document
-    that holds it is its source and keeps it. source_ and n_equal describe the
-    passage's longest piece. Null ids, null or empty texts and texts under K
-    words give no rows; of rows with one id the text is any of theirs. An empty
-    table gives no rows.
+    more words that stand in documents of smaller id; within: or, RUN words at
+    least of them equal, earlier in the document itself. The first document that holds it is its source and keeps it. source_
+    and n_equal describe the passage's longest piece. Null ids, null or empty
+    texts and texts under K words give no rows. Equal rows of one id are one
+    document; of different texts under one id only one is compared (the last by
+    its words' codes), which loses what only the others hold. An empty table
+    gives no rows.
     """
-    rows = pieces(docs)
+    rows = stored(pieces(docs, within), "pieces", PAIR_ROWS)
     w = Window.partitionBy("doc_id").orderBy("first", "last", "source_doc_id", "source_first")
     reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("new", (F.col("first") > F.coalesce(reach, F.lit(-10)) + TOUCH).cast("int")).withColumn("part", F.sum("new").over(w))
@@ -355,21 +451,23 @@ def passages(docs: DataFrame) -> DataFrame:
 
 
 def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the passages found in them; a document with no word left goes. Its other columns stay as they are."""
-    spans = stored(found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("spans")), "spans")
+    """docs without the passages found in them; a document with no word left goes. Its other columns stay as they are, whatever their names."""
+    spans = stored(found.groupBy(F.col("doc_id").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_spans")), "spans")
     few = spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(spans) if few else spans, "doc_id", "left").select(*docs.columns, "spans")
     names, at = docs.columns, docs.columns.index("text")
+    packed_rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
+    rows = packed_rows.join(F.broadcast(spans) if few else spans, F.col("_id") == F.col("_of"), "left").select("_row", "_spans")
 
+    @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
+            columns, spans = batch.column(0).flatten(), batch.column(1).to_pylist()
+            texts = columns[at].to_pylist()
             keep = np.ones(len(texts), bool)
             for i, found in enumerate(spans):
-                if found:
+                if found and texts[i] is not None:
                     texts[i] = _cut(texts[i], [(s["first_word"], s["n_words"]) for s in found])
                     keep[i] = bool(texts[i].strip())
-            columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names=names).filter(pa.array(keep))
 
@@ -377,10 +475,12 @@ def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans (first word, words), as far as it has these words."""
     w = next(iter(words(pa.array([text], pa.string()))))
     ends, raw, out, at = word_ends(w), w.raw.tobytes(), [], 0
     for first, n in spans:
-        out.append(raw[at : w.starts[first]])
-        at = int(ends[first + n - 1])
+        if first < len(ends):
+            out.append(raw[at : w.starts[first]])
+            at = int(ends[min(first + n, len(ends)) - 1])
     out.append(raw[at:])
     return b"".join(out).decode()

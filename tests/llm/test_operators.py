@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pricewell.llm import chat, decontaminate, html_text, jaccard, lm, packing, passages, quality, rollup, toxicity
 from pricewell.llm.queries import BYTE_BPE, PIECE_BPE
+from pricewell.llm.shared import most_frequent
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -211,14 +212,19 @@ def test_passages(docs, empty):
 
 def test_chains_are_ordered_and_disjoint():
     rng = np.random.default_rng(5)
-    line = [(i * 7, 100 + i * 7) for i in range(20)]
-    noise = [(int(x), int(y)) for x, y in rng.integers(0, 400, (30, 2)) if (int(x), int(y)) not in line]
+    line = [(i * 7, 100 + i * 7, 6) for i in range(20)]
+    noise = [(int(x), int(y), 6) for x, y in rng.integers(0, 400, (30, 2)) if not (x < 146 and 0 <= y - x < 200)]
     found = list(passages.chains(sorted(set(line + noise))))
     assert len(set(found[0]) & set(line)) >= 18
     for chain in found:
-        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:]))
-    used = [m for chain in found for m in chain]
-    assert len(used) == len(set(used))
+        assert all(a[0] + a[2] <= b[0] and a[1] + a[2] <= b[1] for a, b in zip(chain, chain[1:]))
+
+
+def test_equal_runs_are_whole():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 31, 400).astype(np.uint32)
+    b = np.concatenate([a[300:], rng.integers(0, 1 << 31, 50).astype(np.uint32), a[:120]])
+    assert passages.equal_runs([(310, 10), (350, 50), (5, 155), (40, 7)], a, b) == [(0, 150, 120), (300, 0, 100)]
 
 
 def test_passages_with_differing_words_between(spark):
@@ -251,20 +257,73 @@ def test_passages_whose_seeds_have_other_first_places(spark):
 
 
 def test_matches_across_batches(spark):
-    """First and nearest earlier documents of every place, whatever the batches, against all pairs."""
+    """First and nearest earlier documents of every place, whatever the batches and the ranges of hot seeds, against all pairs."""
     rng = np.random.default_rng(11)
     rows = sorted({(int(h), int(d), int(a)) for h, d, a in zip(rng.integers(0, 6, 300), rng.integers(0, 25, 300), rng.integers(0, 4, 300))})
-    expected = set()
+    expected, own = set(), set()
     for h, d, a in rows:
         earlier = [r for r in rows if r[0] == h and r[1] < d]
         expected |= {(d, a, *r[1:], h % 2 == 1) for r in ([earlier[0], earlier[-1]] if earlier and earlier[-1][1] != earlier[0][1] else earlier[:1])}
+        own |= {(d, a, d, r[2], True) for r in [next(r for r in rows if r[:2] == (h, d))] if not earlier and h % 2 and r[2] < a}
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
-        found = {tuple(r) for r in passages.matches(spark.createDataFrame(rows, "h long, doc_id long, at int")).collect()}
+        for hot in ([], [1, 2, 5]):
+            places = spark.createDataFrame([(h, 1 + d // 4 if h in hot else 0, d, a) for h, d, a in rows], passages.PLACES)
+            places = places.unionByName(passages.carried(places))
+            assert {tuple(r) for r in passages.matches(places).collect()} == expected
+        assert {tuple(r) for r in passages.matches(places, within=True).collect()} == expected | own
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert found == expected
+
+
+def test_hot_seeds_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{prose(40, 70)} {prose(500 + i, 30)}") for i in range(40)], "doc_id long, text string").repartition(3)
+    found = lambda: sorted(map(tuple, passages.passages(docs).collect()))
+    whole = found()
+    assert len(whole) == 39
+    monkeypatch.setattr(passages, "LEAST_HOT", 1)
+    monkeypatch.setattr(passages, "HOT_PART", 2)
+    monkeypatch.setattr(passages, "HOT_RANGES", 5)
+    assert len(passages.hot_seeds(docs)[0]) > 5
+    assert found() == whole
+
+
+def test_scattered_and_own_repeats(spark):
+    """Six earlier documents hold a slice each; a passage twice in one document; a gap of 900 words."""
+    passage = prose(60, 80).split()
+    texts = {i: f"{prose(600 + i, 40)} {' '.join(passage[12 * i : 12 * i + 19])} {prose(700 + i, 40)}" for i in range(6)}
+    texts |= {i: f"{prose(800 + i, 50)} {' '.join(passage)} {prose(900 + i, 50)}" for i in (20, 21)}
+    twice = prose(61, 120)
+    texts[30] = f"{twice} {prose(62, 50)} {twice}"
+    a, b = prose(63, 60), prose(64, 60)
+    texts |= {i: f"{a} {prose(950 + i, 900)} {b}" for i in (40, 41)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = collections.defaultdict(list)
+    for r in passages.passages(df, within=True).collect():
+        found[r["doc_id"]].append((r["source_doc_id"], r["first_word"], r["n_words"]))
+    assert {k: sorted(v) for k, v in found.items()} == {21: [(20, 50, 80)], 30: [(30, 170, 120)], 41: [(40, 0, 60), (40, 960, 60)]}
+    assert {r["doc_id"] for r in passages.passages(df).collect()} == {21, 41}
+
+
+def test_recall_of_equal_runs(spark):
+    """Every document that holds 50 words in a row of an earlier one is found, on a whole small table."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    seen, expected = set(), set()
+    for r in sorted(table.collect(), key=lambda r: r["doc_id"]):
+        w = WORD.findall(low(r["text"] or ""))
+        grams = {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
+        if grams & seen:
+            expected.add(r["doc_id"])
+        seen |= grams
+    assert expected and expected <= {r["doc_id"] for r in passages.passages(table).collect()}
+
+
+def test_cut_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(0, prose(70, 60), "a", 1), (1, prose(70, 60) + " tail", "b", 2), (1, prose(70, 60) + " tail", "b", 2), (None, "x", None, None), (2, None, "c", 3)], "doc_id long, text string, spans string, _of int")
+    kept = passages.without_passages(docs, passages.passages(docs))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(0, prose(70, 60), "a", 1), (1, " tail", "b", 2), (1, " tail", "b", 2), (None, "x", None, None), (2, None, "c", 3)]))
 
 
 def test_gaps_are_compared_whole():
@@ -307,7 +366,7 @@ def test_ids_equal_the_vocabulary_library():
 def test_head_words_are_bounded(spark):
     """The head holds whole levels of counts, the most frequent ones, never more words than asked for."""
     counts = spark.createDataFrame([(2 * i, n) for i, n in enumerate([1000, 900, 50, 50, 50, 1, 1])], "h long, n long")
-    assert sorted(r["n"] for r in lm.head_words(counts, 4, 7).collect()) == [900, 1000]
-    assert lm.head_words(counts, 7, 7).count() == 7
-    assert [r["n"] for r in lm.head_words(counts, 1, 7).collect()] == [1000]
-    assert lm.head_words(counts.where("false"), 4, 0).count() == 0
+    assert sorted(r["n"] for r in most_frequent(counts, 4, 7).collect()) == [900, 1000]
+    assert most_frequent(counts, 7, 7).count() == 7
+    assert [r["n"] for r in most_frequent(counts, 1, 7).collect()] == [1000]
+    assert most_frequent(counts.where("false"), 4, 0).count() == 0
