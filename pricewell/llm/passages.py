@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewell.llm.shared import packed, released, stored, trimmed
+from pricewell.llm.shared import NARROW_ROWS, packed, released, stored, trimmed
 from pricewell.llm.words import Words, inside, mix, ngrams, word_ends, words
 
 K = 6
@@ -406,7 +406,7 @@ def pieces(docs: DataFrame, within: bool = False) -> DataFrame:
     found = matches(places, within)
     enough = (F.size("m") >= LEAST_SEEDS) | F.exists("m", lambda m: m["run"])
     grouped = found.groupBy("doc_id", "source").agg(F.collect_list(F.struct("at", "there", "run")).alias("m")).where(enough)
-    grouped = stored(grouped.select("doc_id", "source", "m.at", "m.there"), "matches")
+    grouped = stored(grouped.select("doc_id", "source", "m.at", "m.there"), "matches", NARROW_ROWS)
 
     ids = stored(grouped.select(F.explode(F.array("doc_id", "source")).alias("doc_id")).distinct(), "ids")
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

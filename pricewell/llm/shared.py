@@ -14,9 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch of whole texts, and of numbers. Batches of many long texts fill memory beside the heap in the JVM and in Python.
+TEXT_ROWS, NARROW_ROWS = 1000, 10_000
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to TEXT_ROWS where they are larger."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_ROWS:
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. A temporary one only where that is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,14 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
 
-    batch_rows: rows of an Arrow batch meanwhile, for steps with large rows.
+    batch_rows: rows of an Arrow batch meanwhile, TEXT_ROWS if none are given.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH)
     try:
-        if batch_rows:
-            spark.conf.set(_BATCH, str(batch_rows))
+        spark.conf.set(_BATCH, str(batch_rows or TEXT_ROWS))
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
@@ -84,6 +92,7 @@ def trimmed(task):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
