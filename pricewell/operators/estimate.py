@@ -61,13 +61,12 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted-median estimate per day of March 1998, location and item, over the trailing 7 days."""
+    """Weighted-median estimate per shipping day, location and item, over the trailing 7 days."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     count = lambda flag: F.sum((F.col("l_returnflag") == flag).cast("int")) + 2.0
     reporters = lines.groupBy(F.col("l_suppkey").cast("bigint").alias("reporter_id")).agg(count("A").alias("alpha"), count("R").alias("beta"))
-    shipped = F.col("l_shipdate").cast("date")
-    days = lines.where((shipped >= "1998-03-01") & (shipped < "1998-04-01")).select(shipped.alias("as_of")).distinct()
-    seen = _observations(spark, sf_dir).where("is_valid and observed_on between date '1998-02-22' and date '1998-03-31'")
+    days = lines.select(F.col("l_shipdate").cast("date").alias("as_of")).distinct()
+    seen = _observations(spark, sf_dir).where("is_valid")
     rows = as_of_days(seen, days, 7).join(reporters, "reporter_id")
     weight = recency(F.datediff("as_of", "observed_on"), 3.0) * F.greatest(F.lit(0.25), lower_bound(F.col("alpha"), F.col("beta")))
     out = weighted_median(rows.withColumn("weight", weight), ["as_of", "location_id", "item"], "unit_price", "weight", ["observed_on", "reporter_id", "weight"])
@@ -79,7 +78,7 @@ def fx_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rates = spark.sql(with_views("SELECT rate_date, rate FROM v_rates", True, sf_dir))
     days = spark.sql(with_views("SELECT as_of FROM v_days", True, sf_dir))
-    return as_of(days, rates, 7).withColumn("rate", F.floor(F.col("rate") * 1e4 + 0.5) / 1e4)
+    return as_of(days, rates, 7).withColumn("rate", F.floor(F.col("rate") * 1e4 + 0.5001) / 1e4)
 
 
 FRAMES = {

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pricewell.operators import estimate, text
-from pricewell.plans import sql_index, sql_queries
-from pricewell.sources.adapters import with_views
+from pricewell.plans import sql_index, sql_queries, sql_rules
+from pricewell.sources.adapters import VIEWS, with_views
+
+VIEWS.update(sql_rules.VIEWS)
 
 FLAGSHIP = "flagship"
 
@@ -18,7 +20,7 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 #: All queries in SQL.
-SQL: dict[str, str] = {**sql_queries.SQL, **sql_index.SQL}
+SQL: dict[str, str] = {**sql_queries.SQL, **sql_index.SQL, **sql_rules.SQL}
 
 #: Queries in the DataFrame API; their SQL is only the check.
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {**estimate.FRAMES, **text.FRAMES}

@@ -66,7 +66,7 @@ SQL: dict[str, str] = {
             SELECT item, CASE WHEN observed_on BETWEEN date '1998-03-08' AND date '1998-03-15' THEN unit_price END AS new_price,
                 CASE WHEN observed_on BETWEEN date '1998-02-28' AND date '1998-03-07' THEN unit_price END AS old_price
             FROM v_obs WHERE is_valid AND observed_on BETWEEN date '1998-02-28' AND date '1998-03-15') p GROUP BY item) x WHERE last_week > 0""",
-    "d20_national_series": "SELECT as_of, count(*) AS n, MED(cost_local) AS median_cost FROM v_snapshots WHERE coverage_pct + imputed_share >= 0.999 GROUP BY as_of",
+    "d20_national_series": "SELECT as_of, count(*) AS n, MED(cost_local) AS median_cost FROM v_snapshots WHERE coverage_pct >= 1.0e0 AND as_of >= (SELECT ADD(latest, -90) FROM (SELECT max(as_of) AS latest FROM v_snapshots) m) GROUP BY as_of",
     "d21_headline": """SELECT as_of, count(*) AS n, max(CASE WHEN k = cast(floor(n / 2) AS bigint) + 1 THEN cost_local END) AS upper_median, min(cost_local) AS lowest, max(cost_local) AS highest,
         max(CASE WHEN k = 1 THEN location_id END) AS cheapest, max(CASE WHEN k = n THEN location_id END) AS dearest FROM (
             SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY cost_local, location_id) AS k, count(*) OVER (PARTITION BY as_of) AS n FROM v_snapshots WHERE coverage_pct + imputed_share >= 0.999) x
@@ -89,7 +89,7 @@ SQL: dict[str, str] = {
     "e1_latest_per_location": "SELECT location_id, as_of, cost_local FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY as_of DESC, version DESC) AS k FROM v_snapshots) x WHERE k = 1",
     "e2_latest_per_date": "SELECT as_of, location_id, version, cost_local FROM (SELECT *, row_number() OVER (PARTITION BY as_of, location_id ORDER BY version DESC) AS k FROM v_snapshots) x WHERE k = 1",
     "e6_lagged_rate": "SELECT rate_date, R4(rate) AS rate, R4(lag(rate, 3) OVER (ORDER BY rate_date)) AS earlier FROM v_rates",
-    "e7_first_complete_day": "SELECT location_id, min(as_of) AS first_complete FROM v_snapshots WHERE coverage_pct >= 0.999 GROUP BY location_id",
+    "e7_first_complete_day": "SELECT s.location_id, min(s.as_of) AS first_complete FROM v_snapshots s JOIN (SELECT location_id, min(observed_on) AS earliest FROM v_obs WHERE is_valid GROUP BY location_id) f ON f.location_id = s.location_id WHERE s.coverage_pct >= 0.999e0 AND s.as_of <= ADD(f.earliest, 45) GROUP BY s.location_id",
     "e8_rank_of_correct": "SELECT item, location_id, cast(rank() OVER (PARTITION BY item ORDER BY value DESC) AS bigint) AS position FROM v_estimates WHERE as_of = date '1998-03-20'",
     "f4_topk_candidates": "SELECT item, reporter_id, n FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, reporter_id) AS k FROM (SELECT item, reporter_id, count(*) AS n FROM v_obs GROUP BY item, reporter_id) c) x WHERE k <= 5",
     "f6_top_locations": "SELECT s.location_id, s.as_of, s.cost_local FROM v_snapshots s JOIN (SELECT location_id FROM v_obs GROUP BY location_id ORDER BY count(*) DESC, location_id LIMIT 6) t ON t.location_id = s.location_id",
@@ -99,11 +99,11 @@ SQL: dict[str, str] = {
     "g1_union_distinct": "SELECT location_id FROM v_locations UNION SELECT location_id FROM v_obs",
     "g2_except": "SELECT item FROM v_basket_items EXCEPT SELECT item FROM v_estimates WHERE as_of = date '1998-03-01'",
     "g3_intersect": "SELECT location_id, item FROM v_estimates WHERE as_of = date '1998-03-01' INTERSECT SELECT location_id, item FROM v_estimates WHERE as_of = date '1998-03-31'",
-    "j1_dirty_cells": "SELECT DISTINCT o.location_id, d.as_of FROM (SELECT location_id, observed_on FROM v_obs WHERE NOT is_valid AND observed_on BETWEEN date '1998-03-01' AND date '1998-03-31') o JOIN v_days d ON d.as_of >= o.observed_on AND d.as_of <= ADD(o.observed_on, 7)",
-    "j2_daily_submissions": "SELECT cast(observed_at AS date) AS day, item, count(*) AS n FROM v_submissions GROUP BY cast(observed_at AS date), item",
-    "i5_decimal_error": """SELECT v.location_id, v.item, count(*) AS n FROM v_obs v JOIN (SELECT item, MED(unit_price) AS median FROM v_obs WHERE is_valid GROUP BY item) m ON m.item = v.item
+    "j3_dirty_cells": "SELECT DISTINCT o.location_id, d.as_of FROM (SELECT location_id, observed_on FROM v_obs WHERE NOT is_valid AND observed_on BETWEEN date '1998-03-01' AND date '1998-03-31') o JOIN v_days d ON d.as_of >= o.observed_on AND d.as_of <= ADD(o.observed_on, 7)",
+    "d32_daily_submissions": "SELECT cast(observed_at AS date) AS day, item, count(*) AS n FROM v_submissions GROUP BY cast(observed_at AS date), item",
+    "i21_decimal_error": """SELECT v.location_id, v.item, count(*) AS n FROM v_obs v JOIN (SELECT item, MED(unit_price) AS median FROM v_obs WHERE is_valid GROUP BY item) m ON m.item = v.item
         WHERE v.unit_price / m.median >= 8 OR v.unit_price / m.median <= 0.125 GROUP BY v.location_id, v.item""",
-    "i8_reporter_bias": """SELECT x.reporter_id, count(*) AS n, R4(MED(ratio)) AS bias FROM (SELECT v.reporter_id, v.unit_price / m.median AS ratio FROM v_obs v
+    "i27_median_bias": """SELECT x.reporter_id, count(*) AS n, R4(MED(ratio)) AS bias FROM (SELECT v.reporter_id, v.unit_price / m.median AS ratio FROM v_obs v
         JOIN (SELECT item, MED(unit_price) AS median FROM v_obs WHERE is_valid GROUP BY item) m ON m.item = v.item WHERE v.is_valid) x GROUP BY x.reporter_id HAVING count(*) >= 15""",
     "a8_external_id": "SELECT s_suppkey, SHA256(concat(s_name, '|', cast(s_nationkey AS CHARS))) AS external_id FROM supplier",
     "a18_upsert": """SELECT location_id, as_of, cost_local FROM v_snapshots WHERE as_of >= date '1998-03-16'
