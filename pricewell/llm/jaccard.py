@@ -340,15 +340,15 @@ class Join:
             links = self.across(links, large)
         return components(links).select(F.col("node").alias("key"), F.col("component").alias("root"))
 
-    def apart(self, links: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The pairs that the links don't connect."""
-        roots = components(links)
+    def apart(self, roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The pairs that lie in different components."""
         for side in "ab":
             pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("component").alias(f"root_{side}")), side, "left")
         return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
-    def joined(self, links: DataFrame, near: DataFrame) -> DataFrame:
-        rest = stored(self.apart(links, near), "rest")
+    def joined(self, links: DataFrame, near: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        """The links and those of the near pairs that they don't connect; roots: the links' components, if they are known."""
+        rest = stored(self.apart(components(links) if roots is None else roots, near), "rest")
         return stored(links.unionByName(self.verified(rest)), "links", SET_ROWS)
 
     def across(self, links: DataFrame, large: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ class Join:
         met = a.join(b, "h").where("not inner_a and (inner_b or block_a <= block_b)").select("h", "a", "b")
         near = stored(met.mapInArrow(task, "a long, b long").distinct(), "near", BLOCK_ROWS)
         released(blocks)
-        return self.joined(links, near)
+        return self.joined(links, near, roots)
 
 
 class _Block:
