@@ -3,8 +3,9 @@
 A public vocabulary cuts each word into pieces. Text of a kind the vocabulary
 was made for has a usual number of characters a piece; shouting, symbol noise,
 broken encodings and other scripts leave the usual range, fall back to single
-bytes, or repeat few pieces. Each script has its own bands. One pass over the
-input split, nothing is shuffled, and memory holds one run of texts.
+bytes, or repeat few pieces. Each script has its own bands, and languages with
+labelled texts have narrower ones. One pass over the input split, nothing is
+shuffled, and memory holds one run of texts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pricewell.llm.words import Words, inside, line_hashes, mix, ngrams, word_en
 
 
 class Band(NamedTuple):
-    """What a kept text may have: characters a token, share of byte tokens, bits of entropy a token.
+    """What a kept text may have: characters a token, share of byte tokens, bits of entropy a token, tokens a word.
 
     A longer text has more kinds of tokens: ENTROPY_GROWTH times the binary
     logarithm of its tokens (4,096 at most) is added to least_entropy.
@@ -33,9 +34,10 @@ class Band(NamedTuple):
     most_chars: float
     most_bytes: float
     least_entropy: float
+    most_tokens: float = float("inf")
 
 
-# Bands by script. The entropy bound holds from ENTROPY_TOKENS tokens on.
+# Bands by script, and by language where labelled texts gave narrower ones. The entropy bound holds from ENTROPY_TOKENS tokens on.
 BANDS = {
     "latin": Band(1.6, 7.0, 0.05, 3.75),
     "greek": Band(0.9, 4.0, 0.10, 3.0),
@@ -45,6 +47,12 @@ BANDS = {
     "cjk": Band(0.3, 2.0, 0.60, 3.0),
     "none": Band(0.3, 6.0, 0.60, 2.5),
 }
+LANGUAGES = {
+    "en": Band(1.6, 7.0, 0.05, 3.95, 3.3),
+    "de": Band(1.6, 7.0, 0.05, 3.95, 3.3),
+    "es": Band(1.6, 7.0, 0.05, 3.85, 3.3),
+    "fr": Band(1.6, 7.0, 0.05, 3.9, 3.6),
+}
 ENTROPY_TOKENS = 50
 ENTROPY_GROWTH = 0.22
 
@@ -62,7 +70,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 SCHEMA = """doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean,
-    script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double, kept boolean"""
+    script string, n_tokens long, tokens_per_word double, chars_per_token double, byte_share double, token_entropy double, kept boolean"""
 
 
 def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -120,7 +128,7 @@ def _entropy(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.log2(safe) - part / safe, 0.0)
 
 
-def _measure(doc_ids: pa.Array, w: Words, tokens: PieceBpe, is_byte: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
+def _measure(doc_ids: pa.Array, languages: list[str | None], w: Words, tokens: PieceBpe, is_byte: np.ndarray, bands: np.ndarray, own: dict[str, Band]) -> pa.RecordBatch:
     n_words = np.diff(w.offsets)
     ends = word_ends(w)
     word_bytes = np.concatenate([[0], np.cumsum(ends - w.starts)])[w.offsets]
@@ -133,28 +141,35 @@ def _measure(doc_ids: pa.Array, w: Words, tokens: PieceBpe, is_byte: np.ndarray,
     n_tokens = np.diff(token_bounds)
     safe = np.maximum(n_tokens, 1)
     per_token = word_chars / safe
+    per_word = n_tokens / np.maximum(n_words, 1)
     byte_share = _sums(is_byte[ids], token_bounds) / safe
     entropy = _entropy(ids, token_bounds)
     kinds = np.bincount(_owner(w.bounds) * len(SCRIPTS) + _SCRIPT[w.raw], minlength=len(w) * len(SCRIPTS)).reshape(len(w), -1)
     kinds[:, 0] = 0
     script = kinds.argmax(axis=1)
     band = bands[script]
+    for i, lang in enumerate(languages):
+        if lang in own and SCRIPTS[script[i]] == "latin":
+            band[i] = own[lang]
     least_entropy = band[:, 3] + ENTROPY_GROWTH * np.log2(np.clip(n_tokens, 1, 4096))
-    good = (per_token >= band[:, 0]) & (per_token <= band[:, 1]) & (byte_share <= band[:, 2]) & ((entropy >= least_entropy) | (n_tokens < ENTROPY_TOKENS))
-    columns = [doc_ids, *map(pa.array, (n_words, word_chars, _sums(_SYMBOL[w.raw], w.bounds), duplicate_lines(w), repeats, base_failed, np.array(SCRIPTS, object)[script], n_tokens, per_token, byte_share, entropy, ~base_failed & good))]
+    good = (per_token >= band[:, 0]) & (per_token <= band[:, 1]) & (byte_share <= band[:, 2]) & (per_word <= band[:, 4]) & ((entropy >= least_entropy) | (n_tokens < ENTROPY_TOKENS))
+    columns = [doc_ids, *map(pa.array, (n_words, word_chars, _sums(_SYMBOL[w.raw], w.bounds), duplicate_lines(w), repeats, base_failed, np.array(SCRIPTS, object)[script], n_tokens, per_word, per_token, byte_share, entropy, ~base_failed & good))]
     return pa.record_batch(columns, names=[x.split()[0] for x in SCHEMA.split(",")])
 
 
-def quality(docs: DataFrame, vocabulary: str, bands: dict[str, Band] | None = None) -> DataFrame:
+def quality(docs: DataFrame, vocabulary: str, bands: dict[str, Band] | None = None, languages: dict[str, Band] | None = None) -> DataFrame:
     """Counts, fertility measures and verdict of every text: one row a row of docs.
 
-    docs: doc_id, text; other columns are ignored. vocabulary: a sentencepiece
-    model. A null text is an empty one: all counts 0, rejected. A null doc_id
+    docs: doc_id, text, and lang if there is one; other columns are ignored.
+    vocabulary: a sentencepiece model. A null text is an empty one: all counts 0, rejected. A null doc_id
     stays null, equal rows are measured each, an empty table gives no rows.
     ``kept`` is false where base_failed is true or a measure leaves the band of
-    the text's most frequent script.
+    the text's most frequent script; a text mostly of Latin letters whose lang
+    has a band is held to that one. A null or unknown lang has none.
     """
     table = np.array([(bands or BANDS)[s] for s in SCRIPTS])
+    own = LANGUAGES if languages is None else languages
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
     @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +177,6 @@ def quality(docs: DataFrame, vocabulary: str, bands: dict[str, Band] | None = No
         is_byte = np.array([tokens.pieces.is_byte(i) for i in range(tokens.pieces.vocab_size())])
         for batch in batches:
             for w in words(batch.column(1), fold=False):
-                yield _measure(batch.column(0).slice(w.first, len(w)), w, tokens, is_byte, table)
+                yield _measure(batch.column(0).slice(w.first, len(w)), batch.column(2).slice(w.first, len(w)).to_pylist(), w, tokens, is_byte, table, own)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), lang.alias("lang")).mapInArrow(task, SCHEMA)

@@ -96,7 +96,19 @@ def test_quality_keeps_clean(spark):
     sf = "/root/testdata/sf0.01"
     out = quality.quality(spark.read.parquet(f"{sf}/documents.parquet"), PIECE_BPE).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed")
     kept = {r["quality"]: (r["n"], r["k"]) for r in out.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()}
-    assert kept[1][0] == kept[1][1] and kept[0][1] < kept[0][0]
+    assert kept[1][0] == kept[1][1] and kept[0][1] < 0.1 * kept[0][0]
+
+
+def test_quality_bands_by_language(spark):
+    shout = " ".join(f"{w}%%% &&&" for w in prose(11, 80).split())
+    rows = [(1, shout, "xx"), (2, shout, None), (3, shout, "own"), (4, " ".join(f"слово{i} и дело" for i in range(40)), "own")]
+    bands = {s: quality.Band(0.0, 99.0, 1.0, -9.0) for s in quality.SCRIPTS}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in quality.quality(docs, PIECE_BPE, bands, {"own": quality.Band(0.0, 99.0, 1.0, -9.0, 0.5)}).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert [out[i]["kept"] for i in (1, 2, 3, 4)] == [True, True, False, True]
+    no_lang = quality.quality(docs.drop("lang"), PIECE_BPE, bands).collect()
+    assert all(r["kept"] for r in no_lang)
 
 
 def test_jaccard_brute_force(spark, docs, empty):
