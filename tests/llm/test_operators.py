@@ -53,10 +53,43 @@ def test_html():
     assert html_text.main_text(f"<body><ul><li><a href=1>Home</a></li></ul><div>{plain}</div></body>") == plain
 
 
+LONG = "A paragraph of plain words that is long enough to make the sums of its window surge, as an article's text does."
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ('<article><p>First.</p><p class="ad">Buy</p><p class="cookie-notice">Cookies<p>Second.</p><a class="promo-link" href=1>Go</a><table><tr><td class="ads">x<td>cell</table></article>', ["First.", "Second.", "cell"]),
+        (f"<div><p>{LONG}</p></div><article><h2>Teaser</h2><p>Read on.</p></article><article class='comment'><p>{LONG}</p></article>", [LONG]),
+        (f"<div><p>{LONG}</p><div class=ad>x</div><p>Short close.</p><div class=ad>y</div></div>", [LONG, "Short close."]),
+        (f"<article><div class='search-results-analysis'><p>{LONG}</p></div></article>", [LONG]),
+        (f"<main><article><p>{LONG} {LONG}</p></article><article><p>Teaser.</p></article></main>", [f"{LONG} {LONG}"]),
+        (f"<main><article><p>{LONG}</p></article><article><p>{LONG}</p></article><article><p>{LONG}</p></article></main>", [LONG] * 3),
+        (f"<article><p>{LONG}</p><article><p>A reader says so.</p></article></article>", [LONG]),
+        (f"<ul><li class=ad>Buy<ul><li>a<li>b</ul><li>One</ul><p>{LONG}", ["One", LONG]),
+        (f"<div role=main><p>{LONG}</p></div><div><p>Elsewhere.</p></div>", [LONG]),
+        ("<div><p>Short page.</p></div>", ["Short page."]),
+    ],
+)
+def test_main_text_of(body, text):
+    assert html_text.main_text(f"<html><body>{body}</body></html>").split("\n\n") == text
+
+
+def test_pages_without_article_marks():
+    """The window sums find the same text where pages mark no article."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+    assert all(html_text.main_text(p) == html_text.main_text(re.sub(r"</?article>", "", p)) != "" for p in pages)
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<article><p>x</p></article>")]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in out) == [(0, "x", 1), (1, "", 0), (1, "", 0)]
+    clash = spark.createDataFrame([(1, "u", f"<article>{f'<p>{LONG}' * 20_000}</article>", "clash", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [(r["text"], r["n_chars"]) for r in html_text.extract(clash).collect()] == [("\n\n".join([LONG] * 20_000), 20_000 * (len(LONG) + 2) - 2)]
+    assert html_text.extract(clash.where("false")).count() == 0
 
 
 def test_packing_round_trip(docs, empty):
