@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -42,7 +42,7 @@ MAPPINGS = [
     Mapping(("input", "instruction", "output"), (("user", "instruction+input"), ("assistant", "output"))),
     Mapping(("question", "answer"), (("user", "question"), ("assistant", "answer"))),
 ]
-# Role names of other layouts.
+# Role names of other layouts; the flat one's roles stay as they are.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 KNOWN = {path for m in MAPPINGS for path in m.paths}
@@ -90,46 +90,71 @@ def canonical_turns(records: DataFrame, id_column: str = "conv_id") -> DataFrame
     else:
         turns = F.array(*[F.struct(F.lit(r).alias("role"), _text(p).alias("text")) for r, p in mapping.turns])
         out = records.select(key, F.posexplode(turns).alias("turn", "m")).select("conv_id", F.col("turn").cast("long"), "m.role", "m.text").where("role != 'system' or text != ''")
+    return _canonical(out, renamed=not mapping.row)
+
+
+def _canonical(turns: DataFrame, renamed: bool | Column) -> DataFrame:
+    """Null roles and texts are empty; where renamed, other layouts' role names become the canonical ones."""
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    for other, own in ROLES.items():
-        role = F.when(F.col("role") == other, own).otherwise(role)
-    return out.select("conv_id", "turn", role.alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
-def _as_turn(role: str, text: str) -> Callable[[Column], Column]:
-    return lambda m: F.struct(m[role].alias("role"), m[text].alias("text"))
-
-
-def canonical_json(records: DataFrame, json_column: str, id_column: str = "conv_id") -> DataFrame:
-    """Turns of records that are JSON objects, each with a layout of its own; other texts give no turns."""
-    v = F.try_parse_json(F.col(json_column))
-    rows = records.select(F.col(f"`{id_column}`").alias("conv_id"), v.alias("v")).withColumn("kind", F.schema_of_variant("v"))
-    out = None
-    for mapping in MAPPINGS:
-        if mapping.row:
-            continue
-        if mapping.lists:
-            path, role, text = mapping.lists
-            shape = f"{path}: ARRAY<OBJECT<.*\\b({role}: STRING.*\\b{text}|{text}: STRING.*\\b{role}): "
-            listed = F.try_variant_get("v", f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            turns = F.transform(listed, _as_turn(role, text))
-            mine = F.col("kind").rlike(shape)
-        else:
-            fields = sorted({p for _, path in mapping.turns for p in path.split("+")})
-            others = sorted({p for m in MAPPINGS if not m.lists and not m.row for p in m.paths} - set(fields))
-            mine = F.lit(True)
-            for p in fields:
-                mine &= F.col("kind").rlike(f"\\b{p}: ")
-            for p in others:
-                mine &= ~F.col("kind").rlike(f"[<,] ?{p}: ")
-            value = lambda path: F.concat_ws("\n", *[F.try_variant_get("v", f"$.{p}", "string") for p in path.split("+")])
-            turns = F.array(*[F.struct(F.lit(r).alias("role"), value(p).alias("text")) for r, p in mapping.turns])
-        part = rows.where(mine).select("conv_id", F.posexplode(turns).alias("turn", "m")).select("conv_id", F.col("turn").cast("long"), "m.role", "m.text")
-        out = part if out is None else out.unionByName(part)
-    role = F.col("role")
-    for other, own in ROLES.items():
-        role = F.when(F.col("role") == other, own).otherwise(role)
-    return out.select("conv_id", "turn", F.coalesce(role, F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = role
+    for other, name in ROLES.items():
+        own = F.when(role == other, name).otherwise(own)
+    own = F.when(renamed if isinstance(renamed, Column) else F.lit(renamed), own).otherwise(role)
+    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), own.alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _present(path: str) -> Column:
+    """Whether the record v has the nested field; a list has it if one of its members does."""
+    if "[]." not in path:
+        return F.try_variant_get("v", f"$.{path}", "variant").isNotNull()
+    outer, inner = path.split("[].")
+    members = F.try_variant_get("v", f"$.{outer}", "array<variant>")
+    return F.coalesce(F.exists(members, lambda m: F.try_variant_get(m, f"$.{inner}", "variant").isNotNull()), F.lit(False))
+
+
+def _turns_of(mapping: Mapping) -> Column:
+    """The record v's turns by the mapping, as an array of turn, role, text."""
+    get = lambda path: F.try_variant_get("v", f"$.{path}", "string")
+    if mapping.row:
+        turn, role, text = mapping.row
+        return F.array(F.struct(F.try_variant_get("v", f"$.{turn}", "long").alias("turn"), get(role).alias("role"), get(text).alias("text")))
+    if mapping.lists:
+        path, role, text = mapping.lists
+        members = F.try_variant_get("v", f"$.{path}", "array<variant>")
+        return F.transform(members, lambda m, i: F.struct(i.cast("long").alias("turn"), F.try_variant_get(m, f"$.{role}", "string").alias("role"), F.try_variant_get(m, f"$.{text}", "string").alias("text")))
+    value = lambda path: get(path) if "+" not in path else F.concat_ws("\n", *[F.when(get(p) != "", get(p)) for p in path.split("+")])
+    turns = F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), value(path).alias("text")) for i, (role, path) in enumerate(mapping.turns)])
+    return F.filter(turns, lambda t: (t["role"] != "system") | (F.coalesce(t["text"], F.lit("")) != ""))
+
+
+def json_layouts(records: DataFrame, json_column: str, id_column: str = "conv_id") -> DataFrame:
+    """conv_id, v (the record), fingerprint (of its known nested fields; null for texts that are no JSON objects), known (whether a mapping has it)."""
+    rows = records.select(F.col(f"`{id_column}`").alias("conv_id"), F.try_parse_json(F.col(f"`{json_column}`")).alias("v"))
+    paths = F.array_compact(F.array(*[F.when(_present(p), F.lit(p)) for p in sorted(KNOWN)]))
+    found = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.sha2(F.array_join(paths, "\n"), 256))
+    return rows.withColumn("fingerprint", found).withColumn("known", F.coalesce(F.col("fingerprint").isin(list(BY_FINGERPRINT)), F.lit(False)))
+
+
+def canonical_json(records: DataFrame, json_column: str, id_column: str = "conv_id", unknown: str = "raise") -> DataFrame:
+    """Turns of records that are JSON objects, each by the one mapping that its own fingerprint selects.
+
+    An object whose fields fit no mapping, or several at once, fails the job;
+    with unknown="skip" it gives no turns, and ``json_layouts`` reports it. Null
+    texts and texts that are no JSON objects give no turns, nor do empty system
+    prompts and empty lists. A null text or role of a turn is empty.
+    """
+    if unknown not in ("raise", "skip"):
+        raise ValueError(unknown)
+    rows = json_layouts(records, json_column, id_column)
+    turns = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
+    if unknown == "raise":
+        failed = F.raise_error(F.concat(F.lit("no mapping for the fields of "), F.to_json("v"))).cast("array<struct<turn:bigint,role:string,text:string>>")
+        turns = F.when(F.col("fingerprint").isNotNull(), failed).otherwise(turns)
+    for own, mapping in BY_FINGERPRINT.items():
+        turns = F.when(F.col("fingerprint") == own, _turns_of(mapping)).otherwise(turns)
+    flat = [own for own, mapping in BY_FINGERPRINT.items() if mapping.row]
+    out = rows.select("conv_id", (~F.col("fingerprint").isin(flat)).alias("renamed"), F.explode(turns).alias("m"))
+    return _canonical(out.select("conv_id", "renamed", "m.*"), renamed=F.col("renamed"))
 
 
 def escaped(text: Column) -> Column:

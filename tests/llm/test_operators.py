@@ -194,6 +194,33 @@ def test_chat_round_trip(spark):
     assert rows == [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "p"), (2, 1, "assistant", "r"), (3, 0, "user", "i\nx"), (3, 1, "assistant", "o"), (4, 0, "user", "h"), (4, 1, "assistant", "g")]
 
 
+def test_json_layouts_by_fingerprint(spark):
+    texts = {
+        1: '{"prompt":"p","response":"r","system":""}',
+        2: '{"messages":[{"role":"user","content":"q"}],"prompt":"p","response":"r"}',
+        3: '{"query":"q","reply":"r"}',
+        4: '{"turn":7,"role":"human","text":"as it is"}',
+        5: '{"messages":[],"id":1}',
+        6: '{"messages":[{"content":"only"},{"role":"bot","content":null,"x":1}]}',
+        7: "[1]",
+        8: None,
+        9: '{"question":"q","answer":"a","source":{"prompt":"not a field of the record"}}',
+    }
+    records = spark.createDataFrame(list(texts.items()), "conv_id long, j string").withColumn("v", F.lit("clash"))
+    layouts = {r["conv_id"]: (r["fingerprint"] is not None, r["known"]) for r in chat.json_layouts(records, "j").collect()}
+    assert [i for i, x in layouts.items() if x == (True, False)] == [2, 3, 5] and [i for i, x in layouts.items() if not x[0]] == [7, 8]
+    rows = sorted(map(tuple, chat.canonical_json(records, "j", unknown="skip").collect()))
+    assert rows == [(1, 1, "user", "p"), (1, 2, "assistant", "r"), (4, 7, "human", "as it is"), (6, 0, "", "only"), (6, 1, "assistant", ""), (9, 0, "user", "q"), (9, 1, "assistant", "a")]
+    with pytest.raises(Exception, match="no mapping"):
+        chat.canonical_json(records, "j").collect()
+    assert chat.canonical_json(records.where("false"), "j").count() == 0
+
+
+def test_flat_roles_stay(spark):
+    df = spark.createDataFrame([(1, 0, "human", "x")], "conv_id long, turn int, role string, text string")
+    assert chat.canonical_turns(df).collect()[0]["role"] == "human"
+
+
 def test_rollup_idempotent(spark, docs, tmp_path):
     folder, counted = f"file://{tmp_path}/r", rollup.counts(docs, BYTE_BPE)
     rollup.commit(folder, 1, rollup.signed(counted, "v", F.lit(1), F.col("n_tokens")))
