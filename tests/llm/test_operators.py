@@ -272,6 +272,32 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_items_that_begin_with_names(spark):
+    text = "{0} buys 12 apples at the market. {0} gives 5 of them to her brother. {0} sells 4 more on the way. How many apples does {0} have left?"
+    bench = spark.createDataFrame([(1, text.format("Maria")), (2, "Anna walks and Tom walks and Anna sings and Tom sings")], "item_id long, text string")
+    rows = [(1, "Well: " + text.format("Olga").replace("12", "31")), (2, text.format("Maria")), (3, text.format("Maria").upper()), (4, "Maria buys nothing at the market today, and her brother has many apples left."), (5, "Eva walks and Jim walks and Lea sings and Sue sings")]
+    found = decontaminate.contaminated(spark.createDataFrame(rows * 2, "doc_id long, text string").withColumn("words", F.lit("clash")), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 1)]
+
+
+def test_items_without_windows_are_found_verbatim(spark):
+    items = [(1, "Name the red planet."), (2, "Find the next: 2, 4, 8, 16, 32, 64, 128, 256?"), (3, "Why so?"), (4, "1 2 1 2 1 2 1 2 1 2 1 2"), (5, "What is seven times eight then, roughly?"), (6, "Name the red planet."), (None, "no id at all here")]
+    texts = ["Quiz: name the Red planet!", "name the red dwarf planet", "find the next: 2, 4, 8, 16, 32, 64, 128, 256", "find the next: 3, 6, 12, 24, 48, 96, 192, 384", "1 2 1 2 1 2 1 2 1 2 1", "0 " + "1 2 " * 3000, None, "", "Why so? " * 9, "what is seven times eight then, roughly", "no id at all here"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "name the red planet")], "doc_id long, text string").withColumn("length", F.lit("clash"))
+    own = lambda t: [w.rstrip(".,;:!?") for w in (t or "").lower().split()]
+    expected = set()
+    for item, text in items:
+        w = own(text)
+        for i, t in enumerate(texts):
+            d = own(t)
+            if item and len(w) >= decontaminate.LEAST_WORDS and any(d[k : k + len(w)] == w for k in range(len(d))):
+                expected.add((i, item))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expected and len(found) == len(expected)
+    assert all(own(texts[r["doc_id"]])[r["first_word"] : r["last_word"] + 1] == own(dict(items)[r["item_id"]]) for r in found)
+
+
 def test_passages(docs, empty):
     found = {r["doc_id"]: r for r in passages.passages(docs).collect()}
     assert {1, 2, 9} <= set(found) and not {0, 3, 4, 5, 6, 7, 10, 11} & set(found)
