@@ -38,7 +38,7 @@ OPENERS = (
     "A|After|All|An|And|Are|As|At|Before|But|By|Can|Could|Did|Do|Does|Each|Every|Find|For|From|Given|Had|Has|Have|He|Her|His|How|I|If|In|Is|It|Its|Let|Many|No|Not|Of|On|One|Or|Our|She|Should|So|Some|Suppose"
     "|That|The|Their|Then|There|These|They|This|Those|To|Two|Was|We|Were|What|When|Where|Which|While|Who|Why|Will|With|Would|You|Your"
 )
-_NAMES = rf"(?<=[\p{{Ll}},;:§] )\p{{Lu}}[\p{{L}}'’-]+|(?<![\p{{L}}\d'’§-])(?!(?:{OPENERS})(?!\p{{L}}))\p{{Lu}}['’]?\p{{L}}*\p{{Ll}}[\p{{L}}'’-]*"
+_NAMES = rf"(?=\p{{Lu}})(?:(?<=[\p{{Ll}},;:§] )\p{{Lu}}[\p{{L}}'’-]+|(?<![\p{{L}}\d'’§-])(?!(?:{OPENERS})(?!\p{{L}}))\p{{Lu}}['’]?\p{{L}}*\p{{Ll}}[\p{{L}}'’-]*)"
 #: Between words; marks at a word's end belong to what separates it.
 _SPACE = r"[ \t\n\r\x0B\f]+"
 _BETWEEN = r"[.,;:!?]*[ \t\n\r\x0B\f]+"
