@@ -1,4 +1,4 @@
-"""Thin queries op1 to op10 over the synthetic tables, and their DuckDB SQL where SQL can express them."""
+"""Thin queries op1 to op13 over the synthetic tables, and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import chat, decontaminate, html_text, jaccard, lm, passages, rollup, toxicity
+from pricewell.llm import chat, decontaminate, html_text, jaccard, lm, merkle, passages, repair, rollup, toxicity, warc
+from pricewell.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 from pricewell.llm.packing import pack
 from pricewell.llm.quality import quality
 from pricewell.llm.shared import shared_folder, stored, table
@@ -81,6 +82,25 @@ def op10_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    facts = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select("doc_id", "source", merkle.leaf(*facts, F.col("text")).alias("node"), F.when(tampered, merkle.leaf(*facts, merkle.folded_ascii(F.col("text")))).alias("tampered"))
+    proofs, _ = merkle.manifest(leaves, "source", "doc_id")
+    folded = proofs.select("doc_id", F.col("node").alias("leaf"), "subroot", "root", merkle.proof_digest().alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "node")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_seekable_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}")
+    return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -92,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
     "op9_log_frequency_bloom": op9_log_frequency_bloom,
     "op10_collinear_chaining": op10_collinear_chaining,
+    "op11_merkle_blocks": op11_merkle_blocks,
+    "op12_edit_lattice": op12_edit_lattice,
+    "op13_seekable_bundles": op13_seekable_bundles,
 }
 
 # The template escapes "<|" and the backslash inside texts: one more character each.
@@ -107,4 +130,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     sum(length(role) + length(text) + 24 + (length(text) - length(replace(text, '<|', '|'))) + (length(text) - length(replace(text, chr(92), ''))))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op6_schema_fingerprint": _OP6_SQL}
+ORACLES: dict[str, str] = {"op6_schema_fingerprint": _OP6_SQL, "op11_merkle_blocks": OP11_SQL, "op12_edit_lattice": OP12_SQL, "op13_seekable_bundles": OP13_SQL}
