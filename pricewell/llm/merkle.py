@@ -110,20 +110,21 @@ def _paths(rounds: list[DataFrame], tops: DataFrame, carried: list[str]) -> Data
 def manifest(leaves: DataFrame, group: str, order: str) -> tuple[DataFrame, list[DataFrame]]:
     """Every leaf with subroot (its group's root), root, and path, its proof; and the stored tables behind it, to be released once it is read.
 
-    leaves: node (a leaf's digest), the group and order columns; others are
-    carried along, whatever their names (but pos, left, key, block, rows, top,
-    path, subroot, root). Groups are ordered bytewise, the null group first;
-    leaves by order, null first, then by node; equal leaves stand in any order.
-    While several nodes remain, each ``RUN`` consecutive ones (the last ones:
-    fewer, even one) become their digest. A lone leaf is its own root, with an
-    empty path. An empty table gives no rows. Groups of any size and number are
-    dealt out by ranges.
+    leaves: node (a leaf's digest), the group and order columns; all others are
+    carried along, but those named subroot, root or path give way to the result's.
+    Groups are ordered bytewise, the null group first; leaves by order, null
+    first, then by node; equal leaves stand in any order. While several nodes
+    remain, each ``RUN`` consecutive ones (the last ones: fewer, even one) become
+    their digest. A lone leaf is its own root, with an empty path. An empty table
+    gives no rows. Groups of any size and number are dealt out by ranges.
     """
-    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
-    leaves = stored(leaves.withColumn("key", key), "leaves")  # the ranges' sample reads them once more
-    placed, old = _positions(leaves, [order, "node"])
-    groups = _blocks(placed)
-    released(leaves, *old)
+    others = [c for c in leaves.columns if c != "node"]
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{group}`").cast("string")), F.lit(""))
+    inner = leaves.select(key.alias("key"), F.col(f"`{order}`").alias("order"), "node", F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
+    inner = stored(inner, "leaves")  # the ranges' sample reads them once more
+    placed, old = _positions(inner, ["order", "node"])
+    groups = _blocks(placed.drop("order"))
+    released(inner, *old)
     subroots = groups[-1].select(F.lit("").alias("key"), F.col("key").alias("name"), F.col("top").alias("node"))
     placed, old = _positions(subroots, ["name"])
     whole = _blocks(placed)
@@ -131,7 +132,9 @@ def manifest(leaves: DataFrame, group: str, order: str) -> tuple[DataFrame, list
     empty = F.expr(f"cast(array() as {_PATH})")
     of_groups = _paths(whole, whole[-1].select("key", empty.alias("path"), F.col("top").alias("root")), ["root"])
     tops = stored(of_groups.select(F.col("name").alias("key"), "path", "root", F.col("node").alias("subroot")), "tops")
-    return _paths(groups, tops, ["subroot", "root"]).drop("key", "pos"), [*groups, *whole, tops]
+    found = ["node", "subroot", "root", "path"]
+    rows = _paths(groups, tops, ["subroot", "root"])
+    return rows.select(*found, *(F.col("row").getField(c).alias(c) for c in others if c not in found)), [*groups, *whole, tops]
 
 
 def proof_digest(path: str = "path") -> Column:

@@ -80,12 +80,11 @@ damaged AS (
         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
     FROM given WHERE kind <> 0),
 bodies AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged),
-ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS i,
-        row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM bodies),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM bodies),
+marked AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again FROM ranked),
 turns AS (
     SELECT *, CASE WHEN body = '' THEN 0 WHEN again THEN 1 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 2 ELSE 3 END AS fault,
-        lag(role) OVER (PARTITION BY conv ORDER BY i) AS before FROM ranked),
+        lag(role) OVER (PARTITION BY conv ORDER BY i) AS before FROM marked),
 rows_in AS (SELECT conv, i, role, text, fault > 1 AS free, CASE WHEN fault = 2 THEN 3 ELSE 0 END AS more FROM turns),
 labels AS (
     SELECT conv, 0 AS i, struct_pack(c := 0, e := '', t := '') AS o, NULL::STRUCT(c INTEGER, e VARCHAR, t VARCHAR) AS s,
