@@ -3,8 +3,7 @@
 Each document's remainder below a full window goes to the fill level that leaves
 the smallest sum of squared counts of partially filled windows; a level array
 holds those counts. Every task packs the documents of its own input split, so
-nothing is shuffled and memory holds one split's open windows (at most
-``window`` - 1 levels, few windows a level). When a split ends, its open windows
+nothing is shuffled and memory holds one split's open windows at most. When a split ends, its open windows
 are emptied into each other with cuts, and what is left is cut into windows
 whose fills are powers of two, which need no padding.
 """
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.llm.shared import trimmed
-from pricewell.llm.tokens import ByteBpe
+from pricewell.llm.tokens import ByteBpe, forget
 
 WINDOW = 2048
 END_ID = 1
@@ -170,5 +169,6 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
         packer.finish()
         if done:
             yield _rows(done)
+        forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, SCHEMA)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.llm.shared import trimmed
-from pricewell.llm.tokens import PieceBpe
+from pricewell.llm.tokens import PieceBpe, forget
 from pricewell.llm.words import Words, inside, line_hashes, mix, ngrams, word_ends, words
 
 
@@ -178,5 +178,6 @@ def quality(docs: DataFrame, vocabulary: str, bands: dict[str, Band] | None = No
         for batch in batches:
             for w in words(batch.column(1), fold=False):
                 yield _measure(batch.column(0).slice(w.first, len(w)), batch.column(2).slice(w.first, len(w)).to_pylist(), w, tokens, is_byte, table, own)
+        forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), lang.alias("lang")).mapInArrow(task, SCHEMA)

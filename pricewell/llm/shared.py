@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch of whole texts, and of numbers. Batches of many long texts fill memory beside the heap in the JVM and in Python.
 TEXT_ROWS, NARROW_ROWS = 1000, 10_000
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch; a thousand long texts would be far more.
+BATCH_BYTES = "4m"
+
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to TEXT_ROWS where they are larger."""
+    """Sets the session's Arrow batches to TEXT_ROWS and BATCH_BYTES where they are larger."""
+    spark.conf.set(_BYTES, BATCH_BYTES)
     if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_ROWS:
         spark.conf.set(_BATCH, str(TEXT_ROWS))
 
@@ -44,12 +48,14 @@ def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
+    before = spark.conf.get(_BATCH), spark.conf.get(_BYTES)
     try:
         spark.conf.set(_BATCH, str(batch_rows or TEXT_ROWS))
+        spark.conf.set(_BYTES, BATCH_BYTES)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, before)
+        spark.conf.set(_BATCH, before[0])
+        spark.conf.set(_BYTES, before[1])
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

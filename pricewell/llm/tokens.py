@@ -87,6 +87,12 @@ def piece_bpe(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def forget() -> None:
+    """Lets go of the vocabularies: a worker that waits for its next task need not hold them."""
+    byte_bpe.cache_clear()
+    piece_bpe.cache_clear()
+
+
 def _odd_space(raw: np.ndarray) -> np.ndarray:
     """Byte offsets where white space starts that isn't in [\\x20\\x09-\\x0D]."""
     hit = (raw >= 0x1C) & (raw <= 0x1F)
