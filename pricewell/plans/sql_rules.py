@@ -13,30 +13,6 @@ VIEWS: dict[str, str] = {
             cast(o_orderdate AS date) AS observed_on, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'rejected' ELSE 'review' END AS verdict
         FROM orders""",
     "v_variants": "SELECT '1 urgent' AS variant, 'urgent' AS item UNION ALL SELECT '2 high' AS variant, 'high' AS item UNION ALL SELECT '3 medium' AS variant, 'medium' AS item",
-    # Peers: other observations of the location and item in the 30 days before.
-    "v_peers": """
-        SELECT o.location_id, o.item, o.observed_on, o.unit_price, o.reporter_id, p.unit_price AS peer
-        FROM v_obs o JOIN SEEN30(v_obs) p ON p.location_id = o.location_id AND p.item = o.item AND p.seen_on = o.observed_on
-        WHERE p.observed_on <> o.observed_on OR p.unit_price <> o.unit_price OR p.reporter_id <> o.reporter_id""",
-    "v_peer_medians": """
-        SELECT location_id, item, observed_on, unit_price, reporter_id, count(*) AS n_peers, MED(peer) AS median
-        FROM v_peers GROUP BY location_id, item, observed_on, unit_price, reporter_id""",
-    "v_robust": """
-        SELECT location_id, item, observed_on, unit_price, reporter_id, n_peers, median, mad,
-            CASE WHEN n_peers < 4 THEN 0.0e0
-                 WHEN mad <= 0 THEN CASE WHEN median > 0 AND abs(unit_price - median) / median > 0.5e0 THEN 0.6e0 ELSE 0.0e0 END
-                 WHEN abs(0.6745e0 * (unit_price - median) / mad) < 3.5e0 THEN 0.0e0
-                 ELSE least(1.0e0, 0.5e0 + 0.1e0 * (abs(0.6745e0 * (unit_price - median) / mad) - 3.5e0)) END AS robust
-        FROM (SELECT m.location_id, m.item, m.observed_on, m.unit_price, m.reporter_id, m.n_peers, m.median, MED(abs_dev) AS mad
-              FROM (SELECT p.*, abs(p.peer - q.median) AS abs_dev, q.n_peers, q.median FROM v_peers p JOIN v_peer_medians q
-                    ON q.location_id = p.location_id AND q.item = p.item AND q.observed_on = p.observed_on AND q.unit_price = p.unit_price AND q.reporter_id = p.reporter_id) m
-              GROUP BY m.location_id, m.item, m.observed_on, m.unit_price, m.reporter_id, m.n_peers, m.median) x""",
-    "v_item_medians": "SELECT item, MED(unit_price) AS median FROM v_obs WHERE is_valid GROUP BY item",
-    "v_verdicts": """
-        SELECT o.location_id, o.item, o.observed_on, o.unit_price, o.reporter_id, o.is_valid, coalesce(r.robust, 0.0e0) AS robust,
-            CASE WHEN o.unit_price <= 0 OR o.unit_price / m.median >= 4 OR o.unit_price / m.median <= 0.25e0 THEN 1.0e0 ELSE 0.0e0 END AS bounds
-        FROM v_obs o JOIN v_item_medians m ON m.item = o.item
-        LEFT JOIN v_robust r ON r.location_id = o.location_id AND r.item = o.item AND r.observed_on = o.observed_on AND r.unit_price = o.unit_price AND r.reporter_id = o.reporter_id""",
     # Both baskets at the prices of the day before the second begins.
     "v_link_costs": """
         SELECT f.location_id, b.version, sum(b.quantity * f.price) AS cost, min(CASE WHEN f.is_imputed THEN 0 ELSE 1 END) AS is_complete
@@ -45,8 +21,6 @@ VIEWS: dict[str, str] = {
     "v_arrivals": "SELECT submission_id, reporter_id, item, observed_at, price, LATER(observed_at, (submission_id * 7919) % 5760) AS ingested_at FROM v_submissions",
 }
 
-_SCORE = "CASE WHEN bounds >= robust THEN bounds ELSE robust END"
-
 SQL: dict[str, str] = {
     # -- scalars
     "b3_optional_filters": "SELECT as_of, location_id, version, cost_local FROM v_snapshots WHERE (cast(NULL AS bigint) IS NULL OR location_id = cast(NULL AS bigint)) AND (2 IS NULL OR version = 2)",
@@ -75,18 +49,11 @@ SQL: dict[str, str] = {
     "d23_method_share": """SELECT count(*) AS sampled, R4(avg(CASE WHEN price IS NOT NULL THEN 1.0e0 ELSE 0.0e0 END)) AS filled_share FROM (
         SELECT price FROM v_filled WHERE is_imputed ORDER BY as_of DESC, location_id, item LIMIT 200) x""",
     "d24_id_lists": "SELECT location_id, JOINED(reporter_id) AS reporters FROM (SELECT DISTINCT location_id, cast(reporter_id AS CHARS) AS reporter_id FROM v_obs) x GROUP BY location_id",
-    "d26_anomaly_metrics": f"""SELECT item, R4(sum(CASE WHEN flagged AND NOT is_valid THEN 1.0e0 ELSE 0.0e0 END) / nullif(sum(CASE WHEN NOT is_valid THEN 1.0e0 ELSE 0.0e0 END), 0.0e0)) AS recall,
-            R4(sum(CASE WHEN flagged AND is_valid THEN 1.0e0 ELSE 0.0e0 END) / nullif(sum(CASE WHEN is_valid THEN 1.0e0 ELSE 0.0e0 END), 0.0e0)) AS false_positive_rate,
-            R4(sum(CASE WHEN flagged AND NOT is_valid THEN 1.0e0 ELSE 0.0e0 END) / nullif(sum(CASE WHEN flagged THEN 1.0e0 ELSE 0.0e0 END), 0.0e0)) AS prec
-        FROM (SELECT item, is_valid, {_SCORE} >= 0.45e0 AS flagged FROM v_verdicts) x GROUP BY item""",
     "d27_interval_metrics": """SELECT count(*) AS n, R4(avg(abs(value - guess))) AS mae, R4(avg(abs(value - guess) / value)) AS mape, R4(MED(ape)) AS median_ape,
             R4(avg(CASE WHEN value BETWEEN 0.55e0 * guess AND 1.45e0 * guess THEN 1.0e0 ELSE 0.0e0 END)) AS coverage, R4(avg(0.9e0 * guess / value)) AS width,
             R4(avg(CASE WHEN value >= 0.55e0 * guess THEN 0.1e0 * (value - 0.55e0 * guess) ELSE 0.9e0 * (0.55e0 * guess - value) END)) AS pinball_low
         FROM (SELECT e.value, m.median AS guess, abs(e.value - m.median) / e.value AS ape FROM v_estimates e
             JOIN (SELECT as_of, item, MED(value) AS median FROM v_estimates GROUP BY as_of, item) m ON m.as_of = e.as_of AND m.item = e.item) x""",
-    "e5_trailing_context": """SELECT o.location_id, o.item, o.observed_on, o.unit_price, o.reporter_id, coalesce(p.n_peers, 0) AS n_peers, R4(p.median) AS peer_median, R4(o.reference) AS reference
-        FROM (SELECT location_id, item, observed_on, unit_price, reporter_id, MED(unit_price) OVER (PARTITION BY location_id, item ORDER BY DAYS(observed_on, date '1990-01-01') RANGE BETWEEN 90 PRECEDING AND CURRENT ROW) AS reference FROM v_obs) o
-        LEFT JOIN v_peer_medians p ON p.location_id = o.location_id AND p.item = o.item AND p.observed_on = o.observed_on AND p.unit_price = o.unit_price AND p.reporter_id = o.reporter_id""",
     "e9_cyclic_index": """SELECT s.item, k.draw, s.value FROM (SELECT draw FROM NUMBERS(12)) k JOIN (
         SELECT item, value, row_number() OVER (PARTITION BY item ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY item) AS n FROM (SELECT DISTINCT p_type AS item, cast(p_size AS bigint) AS value FROM part WHERE p_size <= 5) d) s ON s.place = k.draw % s.n""",
     "f3_keyset_chunks": "SELECT cast(floor(event_id / 500) AS bigint) AS chunk, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM events GROUP BY cast(floor(event_id / 500) AS bigint)",
@@ -108,14 +75,7 @@ SQL: dict[str, str] = {
     "i19_promote_plan": """SELECT text, CASE WHEN text = '' THEN 'empty' WHEN known > 0 THEN 'known' WHEN owners > 1 THEN 'ambiguous' WHEN text LIKE '%5%' THEN 'held' ELSE 'promote' END AS plan
         FROM (SELECT p.text, count(DISTINCT p.item) AS owners, count(v.variant) AS known FROM (SELECT lower(p_brand) AS text, p_type AS item FROM part) p LEFT JOIN v_variants v ON v.variant = p.text GROUP BY p.text) x""",
     "i45_embeddable_text": "SELECT location_id, CASE WHEN lower(name) = name THEN name ELSE concat(name, ' / ', lower(name)) END AS embeddable FROM v_locations",
-    # -- anomaly
-    "i22_robust_outlier": "SELECT location_id, item, observed_on, unit_price, reporter_id, n_peers, R4(robust) AS robust FROM v_robust",
-    "i23_anomaly_features": """SELECT o.location_id, o.item, o.observed_on, o.unit_price, o.reporter_id, R4(CASE WHEN p.median > 0 THEN o.unit_price / p.median ELSE 1.0e0 END) AS to_local, R4(o.unit_price / m.median) AS to_national,
-            R4(o.unit_price / m.median) AS to_trend, R6(1.0e0 - r.alpha / (r.alpha + r.beta)) AS reporter_deviation, 1.0e0 AS submission_rate, 1.0e0 AS days_since
-        FROM v_obs o JOIN v_item_medians m ON m.item = o.item JOIN v_reporters r ON r.reporter_id = o.reporter_id
-        LEFT JOIN v_peer_medians p ON p.location_id = o.location_id AND p.item = o.item AND p.observed_on = o.observed_on AND p.unit_price = o.unit_price AND p.reporter_id = o.reporter_id""",
-    "i25_verdict": f"SELECT location_id, item, observed_on, unit_price, reporter_id, CASE WHEN {_SCORE} >= 0.85e0 THEN 'rejected' WHEN {_SCORE} >= 0.45e0 THEN 'suspect' ELSE 'clean' END AS verdict FROM v_verdicts",
-    "i26_apply_verdict": f"""SELECT location_id, item, observed_on, unit_price, reporter_id, is_valid AND {_SCORE} < 0.85e0 AS is_valid, CASE WHEN {_SCORE} >= 0.45e0 THEN 'review' ELSE 'resolved' END AS status, R4({_SCORE}) AS anomaly_score FROM v_verdicts""",
+    # -- reporters
     "i27_reporter_bias": """SELECT b.reporter_id, b.n, R4(b.ratio) AS lower_decile, R4(CASE WHEN p.mad > 0 THEN 0.6745e0 * (b.ratio - p.median) / p.mad ELSE 0.0e0 END) AS modified_z,
             CASE WHEN p.mad > 0 THEN abs(0.6745e0 * (b.ratio - p.median) / p.mad) >= 3.0e0 ELSE p.median > 0 AND abs(b.ratio - p.median) / p.median >= 0.15e0 END AS is_suspicious
         FROM v_bias b CROSS JOIN (SELECT median, MED(dev) AS mad, count(*) AS n_reporters FROM (SELECT m.median, abs(v.ratio - m.median) AS dev FROM v_bias v CROSS JOIN (SELECT MED(ratio) AS median FROM v_bias) m) y GROUP BY median) p WHERE p.n_reporters >= 3""",
