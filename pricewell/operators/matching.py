@@ -2,19 +2,22 @@
 
 A catalogue is a table of variants (item, variant) as large as a country's
 basket; texts are many. Texts are compared once each, however often they occur,
-and only with variants that share a word or a run of three letters with them:
-an equality join, so neither side has to fit in one task.
+with all variants, block by block: a text is repeated for each block of variants
+and joined with it by number, so neither side has to fit in one task. Inside a
+block bounds on the score spare most exact comparisons and change no result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewell.operators.text import normalise
 
@@ -70,34 +73,101 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(scored, "double")(a, b)
 
 
-def _features(text: Column) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(text, i, F.lit(3)))
-    return F.array_distinct(F.concat(tokens(text), grams))
+class Variants:
+    """A block of variants, ordered for search: the best items of a text without scoring every variant."""
+
+    def __init__(self, items: list, texts: list[str]) -> None:
+        self.items, self.texts = items, texts
+        self.words = [set(t.split()) for t in texts]
+        letters = sorted({c for t in texts for c in t})
+        self.at = {c: i for i, c in enumerate(letters)}
+        self.counts = np.zeros((len(texts), len(letters)), np.int32)
+        for row, ws in enumerate(self.words):
+            for c in " ".join(sorted(ws)):
+                self.counts[row, self.at[c]] += 1
+        self.lengths = self.counts.sum(axis=1)
+
+    def best(self, text: str, limit: int) -> list[tuple]:
+        """(score, item, variant) of the best ``limit`` items by their best variant; ties go to the smaller item and variant.
+
+        Without a shared word the score is twice the common subsequence over both
+        lengths, and that is no longer than the letters in common: so variants
+        are scored from the highest bound down until no bound reaches the least
+        item that is kept. A variant with a shared word is always scored.
+        """
+        words = set(text.split())
+        own = np.zeros(len(self.at), np.int32)
+        plain = " ".join(sorted(words))
+        for c in plain:
+            if c in self.at:
+                own[self.at[c]] += 1
+        bound = 2.0 * np.minimum(self.counts, own).sum(axis=1) / np.maximum(self.lengths + len(plain), 1)
+        bound[[bool(words & w) for w in self.words]] = 2.0
+        found: dict = {}
+        least = -1.0
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if len(found) >= limit and bound[i] + 1e-12 < least:
+                break
+            score = token_set_score(text, self.texts[i])
+            before = found.get(self.items[i])
+            if before is None or (-score, self.texts[i]) < before:
+                found[self.items[i]] = (-score, self.texts[i])
+                if len(found) >= limit:
+                    least = -sorted(v[0] for v in found.values())[limit - 1]
+        ranked = sorted((score, item, variant) for item, (score, variant) in found.items())[:limit]
+        return [(-score, item, variant) for score, item, variant in ranked]
 
 
 def lexical_search(texts: DataFrame, variants: DataFrame, limit: int = 10) -> DataFrame:
     """text, item, score, variant: the best ``limit`` items of each distinct normalised text, by their best variant.
 
-    texts: text; variants: item, variant. Ties go to the smaller item and
-    variant. A null or empty text has no row, nor has one that shares no three
-    letters and no word with any variant.
+    texts: text; variants: item, variant. Every variant counts, also for texts of
+    one or two letters. Ties go to the smaller item and variant. A null or empty
+    text has no row; an empty catalogue gives none.
     """
     queries = texts.select(normalise(F.col("text")).alias("text")).where("text != ''").distinct()
-    known = variants.select("item", normalise(F.col("variant")).alias("variant")).where("variant != ''").distinct()
-    pairs = queries.select("text", F.explode(_features(F.col("text"))).alias("f")).join(known.select("item", "variant", F.explode(_features(F.col("variant"))).alias("f")), "f").select("text", "item", "variant").distinct()
-    scored = pairs.withColumn("score", token_set_ratio(F.col("text"), F.col("variant")))
-    best = scored.groupBy("text", "item").agg(F.max("score").alias("score"), F.min_by("variant", F.struct(-F.col("score"), F.col("variant"))).alias("variant"))
+    known = variants.select("item", normalise(F.col("variant")).alias("variant")).where("variant != '' and item is not null").distinct()
+    kind, many = known.schema["item"].dataType, max(1, -(-known.count() // BLOCK))
+    blocks = known.groupBy(F.pmod(F.xxhash64("variant"), F.lit(many)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("variant", "item"))).alias("rows"))  # BLOCK rows on average
+    met = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))).join(blocks, "block").select("text", "block", "rows.item", "rows.variant")
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("item", kind), T.StructField("score", T.DoubleType()), T.StructField("variant", T.StringType())])
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Variants] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for i, (text, block) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if block not in held:
+                    held.clear()  # one block at a time
+                    held[block] = Variants(batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
+                out += [(text, item, score, variant) for score, item, variant in held[block].best(text, limit)]
+            kinds = (pa.string(), batch.schema.field(2).type.value_type, pa.float64(), pa.string())
+            yield pa.record_batch([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names=["text", "item", "score", "variant"])
+
+    found = met.sortWithinPartitions("block").mapInArrow(task, schema)
     rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "item"))
+    best = found.groupBy("text", "item").agg(F.max("score").alias("score"), F.min_by("variant", F.struct(-F.col("score"), F.col("variant"))).alias("variant"))
     return best.withColumn("k", rank).where(F.col("k") <= limit).drop("k")
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame | None, keys: list[str], weights: tuple[float, float] = (LEXICAL_WEIGHT, SEMANTIC_WEIGHT)) -> DataFrame:
-    """keys, fused: the weighted mean of both scores, a missing side 0; without a semantic table the lexical score itself."""
-    if semantic is None:
-        return lexical.select(*keys, F.col("score").alias("fused"))
+def fuse(lexical: DataFrame, semantic: DataFrame | None, keys: list[str], weights: tuple[float, float] = (LEXICAL_WEIGHT, SEMANTIC_WEIGHT), query: list[str] | None = None) -> DataFrame:
+    """keys, lexical, semantic, fused: the weighted mean of both scores, a missing side 0.
+
+    query: those of the keys that name the text; none: both tables are of one
+    text. A text without any semantic row has a signal absent, not against it:
+    its fused scores are the lexical ones, as they are without a semantic table.
+    """
+    query, zero = query or [], F.lit(0.0)
+    left = lexical.select(*keys, F.col("score").alias("lexical"))
+    if semantic is None or (not query and semantic.isEmpty()):
+        return left.withColumns({"semantic": zero, "fused": F.col("lexical")})
     a, b = (w / sum(weights) if sum(weights) > 0 else 0.5 for w in weights)
-    both = lexical.select(*keys, F.col("score").alias("l")).join(semantic.select(*keys, F.col("score").alias("s")), keys, "full")
-    return both.select(*keys, (a * F.coalesce("l", F.lit(0.0)) + b * F.coalesce("s", F.lit(0.0))).alias("fused"))
+    both = left.join(semantic.select(*keys, F.col("score").alias("semantic")), keys, "full")
+    if query:
+        both = both.join(semantic.select(*query).distinct().withColumn("_known", F.lit(True)), query, "left")
+    known = F.col("_known").isNotNull() if query else F.lit(True)
+    filled = both.withColumns({"lexical": F.coalesce("lexical", zero), "semantic": F.coalesce("semantic", zero)})
+    return filled.select(*keys, "lexical", "semantic", F.when(known, a * F.col("lexical") + b * F.col("semantic")).otherwise(F.col("lexical")).alias("fused"))
 
 
 def calibrate(score: Column) -> Column:
@@ -121,14 +191,20 @@ def parse_sizes(text: Column, units: list[tuple[str, str, float, list[str]]]) ->
     """array<struct<quantity, unit>>: every stated size in its base unit.
 
     units: code, base unit, factor to it, aliases; a country's configuration, so
-    a short list. Of aliases that begin alike the longest is read.
+    a short list; aliases are normalised as texts are. Of aliases that begin alike
+    the longest is read.
     """
+    named = [(name, base, factor) for code, base, factor, names in units for name in [*names, code]]
+    plain = SparkSession.active().createDataFrame([(i, n) for i, (n, _, _) in enumerate(named)], "i int, name string").select("i", normalise(F.col("name")).alias("name")).orderBy("i").collect()
     alias = {}
-    for code, base, factor, names in units:
-        for name in [*names, code]:
-            alias.setdefault(name.lower(), (base, factor))
+    for (_, base, factor), row in zip(named, plain, strict=True):
+        if row["name"]:
+            alias.setdefault(row["name"], (base, factor))
+    if not alias:
+        return F.array().cast("array<struct<quantity: double, unit: string>>")
     ordered = sorted(alias, key=len, reverse=True)
-    pattern = r"(\d+(?:[.,]\d+)?)\s*(" + "|".join(a.replace(".", r"\.") for a in ordered) + r")(?![\p{L}\p{N}_])"
+    signs = {a: re.sub(r"([^\w\s])", r"\\\1", a) for a in ordered}
+    pattern = r"(\d+(?:[.,]\d+)?)\s*(" + "|".join(signs.values()) + r")(?![\p{L}\p{N}_])"
     spaced = F.regexp_replace(normalise(text), r"(?<=\p{L})(?=\d)|(?<=\d)(?=\p{L})", " ")
     base = F.create_map(*(F.lit(x) for a in ordered for x in (a, alias[a][0])))
     factor = F.create_map(*(F.lit(x) for a in ordered for x in (a, float(alias[a][1]))))
@@ -146,25 +222,46 @@ def size_adjustment(sizes: Column, quantity: Column, unit: Column) -> Column:
 
 
 def decide(candidates: DataFrame, key: str) -> DataFrame:
-    """key, item, confidence, action of each key's best candidate. candidates: key, item, confidence; ties go to the smaller item."""
-    w = Window.partitionBy(key).orderBy(F.desc("confidence"), "item")
-    rows = candidates.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("confidence").over(w)).where("k = 1")
+    """key, item, confidence, action of each key's best candidate. candidates: key, item, fused, confidence; ties go to the smaller item. A lead over the next one under ``LEAD`` in fused score is never taken without review."""
+    w = Window.partitionBy(key).orderBy(F.desc("fused"), "item")
+    rows = candidates.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("fused").over(w)).where("k = 1")
     c = F.col("confidence")
-    close = F.coalesce(c - F.col("next") < LEAD, F.lit(False))
+    close = F.coalesce(F.col("fused") - F.col("next") < LEAD, F.lit(False))
     return rows.select(key, "item", "confidence", F.when((c >= AUTO) & ~close, "auto_resolve").when(c >= REVIEW, "review").otherwise("reject").alias("action"))
 
 
-def match_many(texts: DataFrame, variants: DataFrame, limit: int = 5) -> DataFrame:
+def candidates(texts: DataFrame, variants: DataFrame, limit: int = 5, semantic: DataFrame | None = None, packs: DataFrame | None = None, units: list[tuple[str, str, float, list[str]]] | None = None) -> DataFrame:
+    """text, item, lexical, semantic, fused, confidence, rank: the best ``limit`` items of each distinct normalised text.
+
+    Both signals give three times as many items, which are fused. semantic: text,
+    item, score of normalised texts (``semantic.search``). packs: item, quantity,
+    unit, and units: sizes that a text states move its items' scores.
+    """
+    hits = lexical_search(texts, variants, 3 * limit)
+    both = fuse(hits, semantic, ["text", "item"], query=["text"])
+    if packs is not None and units:
+        sized = both.join(F.broadcast(packs.select("item", "quantity", "unit")), "item", "left").withColumn("_sizes", parse_sizes(F.col("text"), units))
+        both = sized.withColumn("fused", F.col("fused") + F.coalesce(size_adjustment(F.col("_sizes"), F.col("quantity"), F.col("unit")), F.lit(0.0))).drop("_sizes", "quantity", "unit")
+    rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("fused"), "item"))
+    return both.withColumns({"confidence": calibrate(F.col("fused")), "rank": rank}).where(F.col("rank") <= limit)
+
+
+def match_many(texts: DataFrame, variants: DataFrame, limit: int = 5, search=None, packs: DataFrame | None = None, units: list[tuple[str, str, float, list[str]]] | None = None) -> DataFrame:
     """text, item, confidence, action: exact variants first, and only the other texts are searched; one row a distinct text.
 
-    An empty text, or one with no candidate, is rejected without an item.
+    search: (texts, variants, limit) -> text, item, score, the semantic signal
+    (``semantic.search``); None: lexical alone. packs and units as in
+    ``candidates``. An empty text, or one with no candidate, is rejected without
+    an item.
     """
     queries = texts.select("text", normalise(F.col("text")).alias("t")).distinct()
     known = variants.select(normalise(F.col("variant")).alias("t"), "item").groupBy("t").agg(F.min("item").alias("item"))
     exact = queries.where("t != ''").join(known, "t").select("text", "item", F.lit(EXACT).alias("confidence"), F.lit("auto_resolve").alias("action"))
     rest = queries.join(known, "t", "left_anti")
-    found = lexical_search(rest.select("text"), variants, limit).select(F.col("text").alias("t"), "item", calibrate(F.col("score")).alias("confidence"))
-    chosen = rest.join(decide(found, "t"), "t", "left").select("text", "item", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("action", F.lit("reject")).alias("action"))
+    asked = rest.select(F.col("t").alias("text")).where("text != ''").distinct()
+    found = candidates(asked, variants, limit, search(asked, variants, 3 * limit) if search else None, packs, units)
+    decided = decide(found.withColumnRenamed("text", "t"), "t")
+    chosen = rest.join(decided, "t", "left").select("text", "item", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("action", F.lit("reject")).alias("action"))
     return exact.unionByName(chosen)
 
 

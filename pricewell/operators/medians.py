@@ -75,3 +75,12 @@ def sliding_median(rows: DataFrame, key: list[str], day: str, value: str, back:
     met = met.withColumn("_p", F.row_number().over(Window.partitionBy(*key, "as_of", "_range").orderBy("_v")) - 1)
     at = lambda c: F.max(F.when(F.col("_p") == F.col(c), F.col("_v")))
     return met.groupBy(*key, "as_of", "n").agg(at("_low").alias("_l"), at("_high").alias("_h")).select(*key, "as_of", "n", ((F.col("_l") + F.col("_h")) / 2).alias("median"))
+
+
+def median_of(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """group, n, median of each group's values; a group is sorted, not gathered. Null values are left out."""
+    of_group = Window.partitionBy(*group)
+    placed = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
+    placed = placed.withColumns({"_p": F.row_number().over(of_group.orderBy("_v")) - 1, "n": F.count("*").over(of_group)})
+    low, high = _middle(F.col("n"))
+    return placed.where((F.col("_p") == low) | (F.col("_p") == high)).groupBy(*group, "n").agg(F.avg("_v").alias("median"))

@@ -62,10 +62,6 @@ def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.lexical_search(texts, _view(spark, sf_dir, "SELECT item, variant FROM v_variants"), 3)
 
 
-def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_many(_view(spark, sf_dir, "SELECT raw_text AS text FROM v_reviews"), _view(spark, sf_dir, "SELECT item, variant FROM v_variants"))
-
-
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.bootstrap(_view(spark, sf_dir, "SELECT location_id, item, as_of, unit_price, weight FROM v_windowed"))
 
@@ -105,7 +101,6 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 #: Queries that SQL can't check; tests compare them with plain Python.
 UNCHECKED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "c15_fuzzy_text": lexical,
-    "i13_match_many": matched,
     "d13_bootstrap": estimates_with_spread,
     "i34_cost_interval": costs_with_interval,
 }
