@@ -3,8 +3,9 @@
 Vectors need no fitted model: runs of two to four letters, with marks at the ends
 of words, are hashed into ``WIDTH`` signed buckets and weighed by the logarithm of
 their count. Given vectors (a table of embeddings) serve as well. The index puts
-every vector into the cell of its nearest centre; centres are fitted on a bounded
-sample. A query is compared with the vectors of its ``probes`` nearest cells.
+every vector into the cell of its nearest centre. A bounded sample gives the
+centres, and says in how many of its nearest cells a query has to look: vectors
+without clusters need far more than clustered ones.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pricewell.sources.scratch import stored
 WIDTH, GRAMS = 512, (2, 3, 4)
 #: Vectors that the centres are fitted on at most; centres at most; steps of fitting; rows of a block in a cell.
 SAMPLE, CELLS, STEPS, BLOCK = 20_000, 1024, 12, 1024
-#: Cells that a query looks into, as a share of all, and at least.
-PROBE_SHARE, LEAST_PROBES = 0.15, 4
+#: Share of the sample's own neighbours whose cells a query has to look into; queries and neighbours that it is measured on; cells at least.
+COVERED, MEASURED, LEAST_PROBES = 0.97, (256, 10), 4
 
 
 def vector_of(text: str, width: int = WIDTH) -> np.ndarray:
@@ -65,8 +66,15 @@ def _unit(lists: pa.Array) -> np.ndarray:
     return data / np.where(norms > 0, norms, 1.0)
 
 
-def fit_cells(vectors: DataFrame, sample: int = SAMPLE, cells: int = CELLS) -> np.ndarray | None:
-    """Centres (unit rows) of about the square root of the number of vectors, by spherical k-means on at most ``sample`` of them, which a hash of their id picks; None without vectors."""
+def fit_cells(vectors: DataFrame, sample: int = SAMPLE, cells: int = CELLS) -> tuple[np.ndarray, int] | None:
+    """Centres (unit rows), and how many of its nearest cells a query looks into; None without vectors.
+
+    Centres, about the square root of the number of vectors, come from spherical
+    k-means on at most ``sample`` of them, which a hash of their id picks. So many
+    cells are looked into that they hold ``COVERED`` of the true neighbours of
+    some of the sample within it.
+    """
+    vectors = vectors.where("id is not null and vector is not null")
     n = vectors.count()
     if not n:
         return None
@@ -81,7 +89,15 @@ def fit_cells(vectors: DataFrame, sample: int = SAMPLE, cells: int = CELLS) -> n
         np.add.at(sums, own, data)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1.0), centres)
-    return centres.astype(np.float32)
+    centres = centres.astype(np.float32)
+    asked = rng.choice(len(data), min(MEASURED[0], len(data)), replace=False)
+    alike = data[asked] @ data.T
+    alike[np.arange(len(asked)), asked] = -np.inf
+    near = np.argsort(-alike, axis=1, kind="stable")[:, : MEASURED[1]]
+    place = np.argsort(np.argsort(-(data[asked] @ centres.T), axis=1, kind="stable"), axis=1)  # of each cell among a query's nearest ones
+    held = np.take_along_axis(place, (data @ centres.T).argmax(axis=1)[near], axis=1)
+    probes = int(np.quantile(held, COVERED, method="higher")) + 1
+    return centres, min(many, max(LEAST_PROBES, probes))
 
 
 def _placed(vectors: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
@@ -108,19 +124,18 @@ def _placed(vectors: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     return vectors.select(F.col("id").cast("long"), "vector").where("id is not null and vector is not null").mapInArrow(task, "cell int, ids binary, data binary")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray | None = None, probes: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, cells: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """query_id, id, rank, score: of the vectors in each query's nearest cells the k of greatest cosine, the query's own id left out; ties go to the smaller id.
 
-    Both tables: id, vector. Every vector is indexed. A cell's vectors come in
+    Both tables: id, vector. cells: of ``fit_cells``. Every vector is indexed. A cell's vectors come in
     blocks that are joined by cell, so a cell with a third of all rows is many
     blocks. More probes find more of the true neighbours; with all cells the
     answer is exact. Null and zero vectors have no rows, nor have empty tables.
     """
-    if centres is None:
-        centres = fit_cells(vectors)
-    if centres is None:
+    cells = cells or fit_cells(vectors)
+    if cells is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, rank int, score double")
-    probes = probes or max(LEAST_PROBES, int(np.ceil(PROBE_SHARE * len(centres))))
+    centres, probes = cells
     asked = _placed(queries, centres, min(probes, len(centres))).select("cell", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     met = _placed(vectors, centres, 1).join(asked, "cell")
 
@@ -140,7 +155,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
 
 
-def search(texts: DataFrame, variants: DataFrame, limit: int, probes: int | None = None) -> DataFrame:
+def search(texts: DataFrame, variants: DataFrame, limit: int) -> DataFrame:
     """text, item, score: of each distinct normalised text the best ``limit`` items, by their nearest variant; ties go to the smaller item.
 
     variants: item, variant. The nearest 4 x limit variants are asked for, as an
@@ -150,7 +165,7 @@ def search(texts: DataFrame, variants: DataFrame, limit: int, probes: int | None
     asked = stored(texts.select(normalise(F.col("text")).alias("text")).where("text != ''").distinct().withColumn("id", -1 - F.monotonically_increasing_id()), "texts")
     vectors = stored(known.join(embed(known.select("text").distinct()), "text").select("id", "vector"), "variant-vectors")
     queries = asked.join(embed(asked.select("text")), "text").select("id", "vector")
-    near = nearest(queries, vectors, 4 * limit, probes=probes)
+    near = nearest(queries, vectors, 4 * limit)
     hits = near.join(known.select("id", "item"), "id").join(asked.select(F.col("id").alias("query_id"), "text"), "query_id")
     best = hits.groupBy("text", "item").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "item"))

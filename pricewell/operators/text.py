@@ -16,7 +16,8 @@ def _composed(text: Column) -> Column:
     def composed(values: pd.Series) -> pd.Series:
         return values.str.normalize("NFC")
 
-    return F.pandas_udf(composed, "string")(text)
+    # ASCII is composed already; a null in its place is all that such a text sends to Python.
+    return F.coalesce(F.pandas_udf(composed, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def normalise(text: Column, composed: bool = False) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricewell.models import forest
 from pricewell.operators import anomaly
+from pricewell.operators.medians import without_own
 from pricewell.sources.adapters import with_views
 from pricewell.sources.scratch import stored
 
@@ -79,6 +80,26 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("item").agg(share(count(hit, bad), count(bad)).alias("recall"), share(count(hit, ~bad), count(~bad)).alias("false_positive_rate"), share(count(hit, bad), count(hit)).alias("prec"))
 
 
+def others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each estimate's item on its day at the other places: the median, from places in one sort of them."""
+    rows = spark.sql(with_views("SELECT as_of, location_id, item, value FROM v_estimates", True, sf_dir))
+    return without_own(rows, ["as_of", "item"], ["location_id"], "value").where("n > 0").select("as_of", "location_id", "item", F.col("median").alias("others"))
+
+
+def bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reporters of 15 valid prices or more whose lowest tenth of ratios to other reporters' medians stands apart from that of the others; reporters are few beside prices."""
+    rows = spark.sql(with_views("SELECT location_id, item, reporter_id, unit_price FROM v_obs WHERE is_valid", True, sf_dir))
+    medians = without_own(rows, ["location_id", "item"], ["reporter_id"], "unit_price").where("median > 0").drop("n")
+    ratios = rows.join(medians, ["location_id", "item", "reporter_id"]).withColumn("ratio", F.col("unit_price") / F.col("median"))
+    each = stored(ratios.groupBy("reporter_id").agg(F.count("*").alias("n"), F.percentile("ratio", 0.1).alias("ratio")).where("n >= 15"), "reporter-ratios")
+    middle = each.agg(F.percentile("ratio", 0.5).alias("m"), F.count("*").alias("reporters"))
+    mad = each.crossJoin(F.broadcast(middle)).groupBy("m", "reporters").agg(F.percentile(F.abs(F.col("ratio") - F.col("m")), 0.5).alias("mad"))
+    z = F.when(F.col("mad") > 0, anomaly.MAD_TO_SIGMA * (F.col("ratio") - F.col("m")) / F.col("mad"))
+    apart = F.when(F.col("mad") > 0, F.abs(z) >= 3.0).otherwise((F.col("m") > 0) & (F.abs(F.col("ratio") - F.col("m")) / F.col("m") >= 0.15))
+    rows = each.crossJoin(F.broadcast(mad)).where("reporters >= 3")  # one row each
+    return rows.select("reporter_id", "n", _rounded("ratio").alias("lower_decile"), _rounded(F.coalesce(z, F.lit(0.0))).alias("modified_z"), apart.alias("is_suspicious"))
+
+
 # All pairs of an observation and its peers, and of an item's days: plain, and written apart from the operators.
 _JUDGED = """(
     WITH o AS (SELECT *, row_number() OVER (ORDER BY location_id, item, observed_on, unit_price, reporter_id, is_valid) AS id FROM v_obs),
@@ -99,7 +120,15 @@ _JUDGED = """(
 
 _KEY = ", ".join(KEY)
 
+_OTHERS = """SELECT a.as_of, a.location_id, a.item, MED(b.value) AS others FROM v_estimates a JOIN v_estimates b ON b.as_of = a.as_of AND b.item = a.item AND b.location_id <> a.location_id GROUP BY a.as_of, a.location_id, a.item"""
+
+_BIAS = """SELECT b.reporter_id, b.n, R4(b.ratio) AS lower_decile, R4(CASE WHEN p.mad > 0 THEN 0.6745e0 * (b.ratio - p.median) / p.mad ELSE 0.0e0 END) AS modified_z,
+            CASE WHEN p.mad > 0 THEN abs(0.6745e0 * (b.ratio - p.median) / p.mad) >= 3.0e0 ELSE p.median > 0 AND abs(b.ratio - p.median) / p.median >= 0.15e0 END AS is_suspicious
+        FROM v_bias b CROSS JOIN (SELECT median, MED(dev) AS mad, count(*) AS n_reporters FROM (SELECT m.median, abs(v.ratio - m.median) AS dev FROM v_bias v CROSS JOIN (SELECT MED(ratio) AS median FROM v_bias) m) y GROUP BY median) p WHERE p.n_reporters >= 3"""
+
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "c12_leave_one_out": (others, _OTHERS),
+    "i27_reporter_bias": (bias, _BIAS),
     "e5_trailing_context": (context, f"SELECT {_KEY}, n_peers, R4(local_median) AS peer_median, R4(reference) AS reference FROM {_JUDGED} j"),
     "i22_robust_outlier": (robust, f"SELECT {_KEY}, n_peers, R4(robust) AS robust FROM {_JUDGED} j"),
     "i23_anomaly_features": (

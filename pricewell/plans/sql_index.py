@@ -56,8 +56,8 @@ SQL: dict[str, str] = {
             WHEN v.unit_price > 4 * m.median OR v.unit_price < m.median / 4 THEN 1.0e0 ELSE 0.0e0 END AS score
         FROM v_obs v LEFT JOIN (SELECT item, MED(unit_price) AS median FROM v_obs WHERE is_valid GROUP BY item) m ON m.item = v.item""",
     "i32_fallback": """SELECT as_of, location_id, item, R4(price) AS mid, R4(greatest(0.0e0, price * 0.55e0)) AS lo, R4(price * 1.45e0) AS hi FROM v_filled WHERE is_imputed AND price > 0""",
-    "i37_publish_missing": """SELECT d.as_of, l.location_id FROM v_days d CROSS JOIN v_locations l
-        WHERE d.as_of > date '1998-03-28' AND NOT EXISTS (SELECT 1 FROM v_snapshots s WHERE s.as_of = d.as_of AND s.location_id = l.location_id)""",
+    "i37_publish_missing": """SELECT d.as_of, l.location_id FROM (SELECT as_of FROM v_days WHERE as_of > (SELECT ADD(max(as_of), -3) FROM v_days)) d CROSS JOIN v_locations l
+        WHERE NOT EXISTS (SELECT 1 FROM v_snapshots s WHERE s.as_of = d.as_of AND s.location_id = l.location_id)""",
     "i40_retention": "SELECT reporter_id, max(observed_on) AS last_seen, max(observed_on) < date '1998-06-01' AS is_dormant FROM v_obs GROUP BY reporter_id",
     "i46_stale_backlog": "SELECT event_type, count(*) AS pending, min(ts) AS oldest FROM events WHERE value < 1 GROUP BY event_type",
     # -- rankings, lists, late rows

@@ -41,7 +41,6 @@ SQL: dict[str, str] = {
         SELECT a.location_id AS a, b.location_id AS b, 2 * 6371.0088e0 * asin(least(1.0e0, sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2)
             + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2)))) AS km
         FROM v_locations a JOIN v_locations b ON a.location_id <> b.location_id) d) x WHERE k <= 5""",
-    "c12_leave_one_out": """SELECT a.as_of, a.location_id, a.item, MED(b.value) AS others FROM v_estimates a JOIN v_estimates b ON b.as_of = a.as_of AND b.item = a.item AND b.location_id <> a.location_id GROUP BY a.as_of, a.location_id, a.item""",
     "c13_grid": "SELECT d.as_of, l.location_id, b.item FROM v_days d CROSS JOIN v_locations l CROSS JOIN (SELECT DISTINCT item FROM v_basket_items) b",
     "c19_anchor_lookup": """SELECT s.as_of, s.location_id, a.cost_local AS anchor, CASE WHEN a.cost_local > 0 THEN R4(100 * s.cost_local / a.cost_local) END AS index_level
         FROM v_snapshots s LEFT JOIN v_snapshots a ON a.location_id = s.location_id AND a.version = s.version AND a.as_of = CASE WHEN s.version = 1 THEN date '1998-03-01' ELSE date '1998-03-16' END""",
@@ -55,7 +54,9 @@ SQL: dict[str, str] = {
     "d9_low_quantile": "SELECT item, R4(Q(unit_price, 0.1)) AS low FROM v_obs WHERE is_valid GROUP BY item",
     "d10_mad": """SELECT o.item, MED(o.distance) AS mad FROM (SELECT v.item, abs(v.unit_price - m.median) AS distance FROM v_obs v
         JOIN (SELECT item, MED(unit_price) AS median FROM v_obs WHERE is_valid GROUP BY item) m ON m.item = v.item WHERE v.is_valid) o GROUP BY o.item""",
-    "d11_modified_z": """SELECT x.location_id, x.item, x.as_of, CASE WHEN y.mad > 0 THEN R4(0.6745e0 * (x.value - y.median) / y.mad) END AS z FROM v_estimates x JOIN (
+    # Where all places agree there is no scale; a price more than half away from theirs counts as far as the cut.
+    "d11_modified_z": """SELECT x.location_id, x.item, x.as_of, CASE WHEN y.mad > 0 THEN R4(0.6745e0 * (x.value - y.median) / y.mad) END AS z,
+        CASE WHEN y.mad > 0 THEN abs(0.6745e0 * (x.value - y.median) / y.mad) >= 3.5e0 ELSE y.median > 0 AND abs(x.value - y.median) / y.median > 0.5e0 END AS is_outlier FROM v_estimates x JOIN (
         SELECT e.as_of, e.item, m.median, MED(abs_e) AS mad FROM (SELECT e.as_of, e.item, abs(e.value - m.median) AS abs_e FROM v_estimates e
             JOIN (SELECT as_of, item, MED(value) AS median FROM v_estimates GROUP BY as_of, item) m ON m.as_of = e.as_of AND m.item = e.item) e
         JOIN (SELECT as_of, item, MED(value) AS median FROM v_estimates GROUP BY as_of, item) m ON m.as_of = e.as_of AND m.item = e.item GROUP BY e.as_of, e.item, m.median) y
@@ -67,19 +68,24 @@ SQL: dict[str, str] = {
                 CASE WHEN observed_on BETWEEN date '1998-02-28' AND date '1998-03-07' THEN unit_price END AS old_price
             FROM v_obs WHERE is_valid AND observed_on BETWEEN date '1998-02-28' AND date '1998-03-15') p GROUP BY item) x WHERE last_week > 0""",
     "d20_national_series": "SELECT as_of, count(*) AS n, MED(cost_local) AS median_cost FROM v_snapshots WHERE coverage_pct >= 1.0e0 AND as_of >= (SELECT ADD(latest, -90) FROM (SELECT max(as_of) AS latest FROM v_snapshots) m) GROUP BY as_of",
-    "d21_headline": """SELECT as_of, count(*) AS n, max(CASE WHEN k = cast(floor(n / 2) AS bigint) + 1 THEN cost_local END) AS upper_median, min(cost_local) AS lowest, max(cost_local) AS highest,
+    "d21_headline": """SELECT h.as_of, n, upper_median, R4(upper_median / r.rate) AS upper_median_usd, lowest, highest, CASE WHEN lowest > 0 THEN R4(highest / lowest) END AS spread, coverage, imputed, cheapest, dearest FROM (
+        SELECT as_of, count(*) AS n, max(CASE WHEN k = cast(floor(n / 2) AS bigint) + 1 THEN cost_local END) AS upper_median, min(cost_local) AS lowest, max(cost_local) AS highest, R4(avg(coverage_pct)) AS coverage, R4(avg(imputed_share)) AS imputed,
         max(CASE WHEN k = 1 THEN location_id END) AS cheapest, max(CASE WHEN k = n THEN location_id END) AS dearest FROM (
             SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY cost_local, location_id) AS k, count(*) OVER (PARTITION BY as_of) AS n FROM v_snapshots WHERE coverage_pct + imputed_share >= 0.999) x
-        GROUP BY as_of""",
-    "d22_coverage_report": "SELECT location_id, latest, DAYS(date '1998-03-31', latest) AS days_since, coverage, n FROM (SELECT location_id, max(as_of) AS latest, R4(avg(coverage_pct)) AS coverage, count(*) AS n FROM v_snapshots GROUP BY location_id) x",
+        GROUP BY as_of) h LEFT JOIN (SELECT seen_on, max(rate_date) AS rate_date FROM SEENRATE(v_rates) q GROUP BY seen_on) d ON d.seen_on = h.as_of LEFT JOIN v_rates r ON r.rate_date = d.rate_date""",
+    # Thirty days up to the newest one.
+    "d22_coverage_report": """SELECT x.location_id, x.latest, DAYS(x.newest, x.latest) AS days_since, x.coverage, x.imputed, x.n FROM (
+        SELECT s.location_id, m.newest, max(s.as_of) AS latest, R4(avg(s.coverage_pct)) AS coverage, R4(avg(s.imputed_share)) AS imputed, count(*) AS n FROM v_snapshots s
+        CROSS JOIN (SELECT max(as_of) AS newest FROM v_days) m WHERE s.as_of > ADD(m.newest, -30) GROUP BY s.location_id, m.newest) x""",
     "d25_label_metrics": "SELECT source, count(*) AS n, R4(avg(cast(quality AS double))) AS quality, R4(avg(cast(toxic AS double))) AS toxic FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY source",
     "d28_rank_auc": """SELECT R6((sum(CASE WHEN toxic = 1 THEN mid ELSE 0.0e0 END) - pos * (pos + 1) / 2.0e0) / (pos * (cast(n AS double) - pos))) AS auc FROM (
         SELECT toxic, r + (c - 1) / 2.0e0 AS mid, n, pos FROM (
             SELECT toxic, rank() OVER (ORDER BY n_chars) AS r, count(*) OVER (PARTITION BY n_chars) AS c, count(*) OVER () AS n, cast(sum(toxic) OVER () AS double) AS pos
             FROM labels l JOIN documents d ON d.doc_id = l.doc_id) x) y GROUP BY n, pos""",
-    "d29_threshold_curve": """SELECT t.threshold, count(CASE WHEN x.score >= t.threshold THEN 1 END) AS published, count(CASE WHEN x.score >= t.threshold AND x.ok = 1 THEN 1 END) AS correct
+    "d29_threshold_curve": """SELECT threshold, published, correct, R4(cast(published AS double) / total) AS coverage, CASE WHEN published > 0 THEN R4(cast(correct AS double) / published) END AS prec
+        FROM (SELECT t.threshold, count(*) AS total, count(CASE WHEN x.score >= t.threshold THEN 1 END) AS published, count(CASE WHEN x.score >= t.threshold AND x.ok = 1 THEN 1 END) AS correct
         FROM (SELECT l_discount * 10 AS score, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS ok FROM lineitem) x
-        CROSS JOIN (SELECT 0.0e0 AS threshold UNION ALL SELECT 0.25e0 UNION ALL SELECT 0.5e0 UNION ALL SELECT 0.75e0 UNION ALL SELECT 0.9e0) t GROUP BY t.threshold""",
+        CROSS JOIN (SELECT draw / 10.0e0 AS threshold FROM NUMBERS(11)) t GROUP BY t.threshold) c""",
     "d30_wilson": """SELECT item, R6((p + 1.9208e0 / n - 1.96e0 * sqrt(p * (1 - p) / n + 0.9604e0 / (n * n))) / (1 + 3.8416e0 / n)) AS lo, R6((p + 1.9208e0 / n + 1.96e0 * sqrt(p * (1 - p) / n + 0.9604e0 / (n * n))) / (1 + 3.8416e0 / n)) AS hi
         FROM (SELECT item, cast(count(*) AS double) AS n, cast(sum(CASE WHEN is_valid THEN 1 ELSE 0 END) AS double) / cast(count(*) AS double) AS p FROM v_obs GROUP BY item) x""",
     "d32_category_counts": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority",
@@ -88,7 +94,10 @@ SQL: dict[str, str] = {
     # -- windows, ranking, limits
     "e1_latest_per_location": "SELECT location_id, as_of, cost_local FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY as_of DESC, version DESC) AS k FROM v_snapshots) x WHERE k = 1",
     "e2_latest_per_date": "SELECT as_of, location_id, version, cost_local FROM (SELECT *, row_number() OVER (PARTITION BY as_of, location_id ORDER BY version DESC) AS k FROM v_snapshots) x WHERE k = 1",
-    "e6_lagged_rate": "SELECT rate_date, R4(rate) AS rate, R4(lag(rate, 3) OVER (ORDER BY rate_date)) AS earlier FROM v_rates",
+    # The newest rate of 21 days before, or the first one where there is none so old.
+    "e6_lagged_rate": """SELECT r.rate_date, R4(r.rate) AS rate, R4(coalesce(p.rate, f.rate)) AS earlier FROM (
+            SELECT a.rate_date, a.rate, max(b.rate_date) AS before FROM v_rates a LEFT JOIN v_rates b ON b.rate_date <= ADD(a.rate_date, -21) GROUP BY a.rate_date, a.rate) r
+        LEFT JOIN v_rates p ON p.rate_date = r.before CROSS JOIN (SELECT rate FROM v_rates WHERE rate_date = (SELECT min(rate_date) FROM v_rates)) f""",
     "e7_first_complete_day": "SELECT s.location_id, min(s.as_of) AS first_complete FROM v_snapshots s JOIN (SELECT location_id, min(observed_on) AS earliest FROM v_obs WHERE is_valid GROUP BY location_id) f ON f.location_id = s.location_id WHERE s.coverage_pct >= 0.999e0 AND s.as_of <= ADD(f.earliest, 45) GROUP BY s.location_id",
     "e8_rank_of_correct": "SELECT item, location_id, cast(rank() OVER (PARTITION BY item ORDER BY value DESC) AS bigint) AS position FROM v_estimates WHERE as_of = date '1998-03-20'",
     "f4_topk_candidates": "SELECT item, reporter_id, n FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, reporter_id) AS k FROM (SELECT item, reporter_id, count(*) AS n FROM v_obs GROUP BY item, reporter_id) c) x WHERE k <= 5",

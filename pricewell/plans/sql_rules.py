@@ -76,9 +76,6 @@ SQL: dict[str, str] = {
         FROM (SELECT p.text, count(DISTINCT p.item) AS owners, count(v.variant) AS known FROM (SELECT lower(p_brand) AS text, p_type AS item FROM part) p LEFT JOIN v_variants v ON v.variant = p.text GROUP BY p.text) x""",
     "i45_embeddable_text": "SELECT location_id, CASE WHEN lower(name) = name THEN name ELSE concat(name, ' / ', lower(name)) END AS embeddable FROM v_locations",
     # -- reporters
-    "i27_reporter_bias": """SELECT b.reporter_id, b.n, R4(b.ratio) AS lower_decile, R4(CASE WHEN p.mad > 0 THEN 0.6745e0 * (b.ratio - p.median) / p.mad ELSE 0.0e0 END) AS modified_z,
-            CASE WHEN p.mad > 0 THEN abs(0.6745e0 * (b.ratio - p.median) / p.mad) >= 3.0e0 ELSE p.median > 0 AND abs(b.ratio - p.median) / p.median >= 0.15e0 END AS is_suspicious
-        FROM v_bias b CROSS JOIN (SELECT median, MED(dev) AS mad, count(*) AS n_reporters FROM (SELECT m.median, abs(v.ratio - m.median) AS dev FROM v_bias v CROSS JOIN (SELECT MED(ratio) AS median FROM v_bias) m) y GROUP BY median) p WHERE p.n_reporters >= 3""",
     "i28_bias_review_state": """SELECT reporter_id, CASE WHEN suspicious AND cleared THEN 'cleared' WHEN suspicious THEN 'flagged' ELSE 'none' END AS state
         FROM (SELECT reporter_id, ratio < 0.6e0 AS suspicious, reporter_id % 10 = 0 AS cleared FROM v_bias) x""",
     # -- the index
@@ -86,10 +83,10 @@ SQL: dict[str, str] = {
             CASE WHEN s.coverage_pct < 0.5e0 THEN 'low' WHEN s.coverage_pct + s.imputed_share < 0.999e0 THEN 'moderate' WHEN s.imputed_share > 0.1e0 OR coalesce(r.rate_date < s.as_of, false) THEN 'moderate' ELSE 'good' END AS quality
         FROM v_snapshots s LEFT JOIN (SELECT as_of, rate_date, rate FROM (
             SELECT d.as_of, q.rate_date, q.rate, row_number() OVER (PARTITION BY d.as_of ORDER BY q.rate_date DESC) AS k FROM (SELECT DISTINCT as_of FROM v_snapshots) d JOIN SEENRATE(v_rates) q ON q.seen_on = d.as_of) x WHERE k = 1) r ON r.as_of = s.as_of""",
-    "i36_chain_link": """SELECT x.location_id, CASE WHEN x.old_cost > 0 AND x.new_cost > 0 AND x.complete = 1 THEN R6(x.old_cost / x.new_cost) ELSE R6(m.factor) END AS factor,
+    "i36_chain_link": """SELECT x.location_id, CASE WHEN x.old_cost > 0 AND x.new_cost > 0 AND x.complete = 1 THEN R6(x.new_cost / x.old_cost) ELSE R6(m.factor) END AS factor,
             CASE WHEN x.old_cost > 0 AND x.new_cost > 0 AND x.complete = 1 THEN 'own' WHEN m.factor IS NOT NULL THEN 'country_median' ELSE 'skipped' END AS method
         FROM (SELECT location_id, max(CASE WHEN version = 1 THEN cost END) AS old_cost, max(CASE WHEN version = 2 THEN cost END) AS new_cost, min(is_complete) AS complete FROM v_link_costs GROUP BY location_id) x
-        CROSS JOIN (SELECT MED(factor) AS factor FROM (SELECT location_id, max(CASE WHEN version = 1 THEN cost END) / max(CASE WHEN version = 2 THEN cost END) AS factor FROM v_link_costs WHERE is_complete = 1 GROUP BY location_id) f) m""",
+        CROSS JOIN (SELECT MED(factor) AS factor FROM (SELECT location_id, max(CASE WHEN version = 2 THEN cost END) / max(CASE WHEN version = 1 THEN cost END) AS factor FROM v_link_costs WHERE is_complete = 1 GROUP BY location_id) f) m""",
     "i38_rebuild_queue": "SELECT as_of, location_id, stale_since FROM (SELECT s.as_of, s.location_id, max(o.observed_on) AS stale_since FROM v_snapshots s JOIN v_obs o ON o.location_id = s.location_id AND o.observed_on = s.as_of WHERE NOT o.is_valid GROUP BY s.as_of, s.location_id) q ORDER BY stale_since, as_of, location_id LIMIT 500",
     "i39_health": """SELECT name, status FROM (
             SELECT 'prices' AS name, CASE WHEN count(*) = 0 THEN 'stalled' WHEN sum(CASE WHEN is_valid THEN 1 ELSE 0 END) * 2 < count(*) THEN 'degraded' ELSE 'ok' END AS status FROM v_obs

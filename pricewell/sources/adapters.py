@@ -91,6 +91,7 @@ VIEWS = {
 # What differs between the dialects, as (pattern, Spark, DuckDB).
 _DIALECT = [
     (r"\bDAYS\(([^(),]+), ([^(),]+)\)", r"datediff(\1, \2)", r"date_diff('day', \2, \1)"),
+    (r"\bADD\((max\(\w+\)), (-?\d+)\)", r"date_add(\1, \2)", r"(\1 + \2)"),
     (r"\bADD\(([^(),]+), ([^(),]+)\)", r"date_add(\1, cast(\2 AS int))", r"(\1 + cast(\2 AS integer))"),
     (r"\bMED\(([^()]+)\)", r"percentile(\1, 0.5)", r"quantile_cont(\1, 0.5)"),
     (r"\bQ\(([^(),]+), ([0-9.]+)\)", r"percentile(\1, \2)", r"quantile_cont(\1, \2)"),

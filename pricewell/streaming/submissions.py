@@ -4,28 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pricewell.streaming.state import taken_once
+
 KEYS = ["reporter_id", "idempotency_key"]
 WINDOW_DAYS = 7
 
 
-def _stored(batch: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return batch.sparkSession.read.parquet(path)
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return None
-
-
 def new_rows(batch: DataFrame, known: DataFrame | None, batch_id: int) -> DataFrame:
-    """The batch's rows whose key no other batch has stored; of rows with one key the one that arrived first."""
+    """The batch's rows whose key no other batch has stored; of rows with one key the one that arrived first. Rows with a null in the key are all different: each stays."""
+    whole = F.lit(True)
+    for k in KEYS:
+        whole = whole & F.col(k).isNotNull()
     first = F.min(F.struct("ingested_at", *[c for c in batch.columns if c not in (*KEYS, "ingested_at")]))
-    rows = batch.groupBy(*KEYS).agg(first.alias("r")).select(*KEYS, "r.*").select(*batch.columns)
-    return rows if known is None else rows.join(known.where(F.col("batch") != batch_id).select(*KEYS), KEYS, "left_anti")
+    rows = batch.where(whole).groupBy(*KEYS).agg(first.alias("r")).select(*KEYS, "r.*").select(*batch.columns)
+    rows = rows if known is None else rows.join(known.where(F.col("batch") != batch_id).select(*KEYS), KEYS, "left_anti")
+    return rows.unionByName(batch.where(~whole))
 
 
 def touched(rows: DataFrame, window: int = WINDOW_DAYS) -> DataFrame:
@@ -38,20 +36,26 @@ def ingest(submissions: DataFrame, table: str, stale: str, checkpoint: str, wind
     """Runs the stream into two Parquet tables, a folder a batch: new submissions, and the cells they touch.
 
     submissions: reporter_id, idempotency_key, location_id, observed_at,
-    ingested_at and other columns. No row is dropped for being late. A batch
-    that is run again after a failure replaces its own folders.
+    ingested_at and other columns. Which keys were taken is state of the stream,
+    so no batch reads what others have written; rows without a whole key all
+    stay. No row is dropped for being late. A batch that is run again after a
+    failure finds the state before it and replaces its own folders.
     """
 
     def write(rows: DataFrame, batch_id: int, path: str) -> None:
         rows.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write(new_rows(batch, _stored(batch, table), batch_id), batch_id, table)
-        stored = _stored(batch, table)
-        if stored is not None:
-            write(touched(stored.where(F.col("batch") == batch_id), window), batch_id, stale)
-
-    return submissions.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+        write(batch, batch_id, table)
+        try:
+            rows = batch.sparkSession.read.parquet(f"{table}/batch={batch_id}")  # what was stored, and nothing computed twice
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return  # the batch was empty
+        write(touched(rows, window), batch_id, stale)
+
+    return taken_once(submissions, KEYS).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
 def due(stale: DataFrame, done: DataFrame | None, now, grace_seconds: int = 60, most: int = 500) -> DataFrame:
