@@ -34,7 +34,7 @@ def without_own(rows: DataFrame, group: list[str], member: list[str], value: str
     shifted = own.groupBy(*group, *member).agg(F.max("_m").alias("_m"), F.count_if(before <= low).alias("_low"), F.count_if(before <= high).alias("_high"))
     if cells is None:
         cells = shifted.select(*group, *member)
-    sizes = placed.groupBy(*group).agg(F.max("_n").alias("_n"))
+    sizes = rows.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("_n"))
     zero = F.lit(0)
     cells = cells.join(sizes, group, "left").join(shifted, [*group, *member], "left")
     n = F.coalesce("_n", zero) - F.coalesce("_m", zero)
