@@ -122,8 +122,8 @@ def lexical_search(texts: DataFrame, variants: DataFrame, limit: int = 10) -> Da
     """text, item, score, variant: the best ``limit`` items of each distinct normalised text, by their best variant.
 
     texts: text; variants: item, variant. Every variant counts, also for texts of
-    one or two letters. Ties go to the smaller item and variant. A null or empty
-    text has no row; an empty catalogue gives none.
+    one or two letters; a score of 0 is no candidate. Ties go to the smaller item
+    and variant. A null or empty text has no row; an empty catalogue gives none.
     """
     queries = texts.select(normalise(F.col("text")).alias("text")).where("text != ''").distinct()
     known = variants.select("item", normalise(F.col("variant")).alias("variant")).where("variant != '' and item is not null").distinct()
@@ -144,7 +144,7 @@ def lexical_search(texts: DataFrame, variants: DataFrame, limit: int = 10) -> Da
             kinds = (pa.string(), batch.schema.field(2).type.value_type, pa.float64(), pa.string())
             yield pa.record_batch([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names=["text", "item", "score", "variant"])
 
-    found = met.sortWithinPartitions("block").mapInArrow(task, schema)
+    found = met.sortWithinPartitions("block").mapInArrow(task, schema).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "item"))
     best = found.groupBy("text", "item").agg(F.max("score").alias("score"), F.min_by("variant", F.struct(-F.col("score"), F.col("variant"))).alias("variant"))
     return best.withColumn("k", rank).where(F.col("k") <= limit).drop("k")

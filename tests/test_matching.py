@@ -22,7 +22,7 @@ def plain_search(texts, variants, limit):
         for item, v in variants:
             key = (-matching.token_set_score(t, v), v)
             best[item] = min(best.get(item, (1, "")), key)
-        out |= {(t, item, round(-s, 9), v) for s, item, v in sorted((s, item, v) for item, (s, v) in best.items())[:limit]}
+        out |= {(t, item, round(-s, 9), v) for s, item, v in sorted((s, item, v) for item, (s, v) in best.items())[:limit] if s < 0}
     return out
 
 
