@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricewell.sources.adapters import with_views
+from pricewell.sources.keyed_store import KeyedStore
+from pricewell.sources.scratch import stored
 
 TABLES = {
     "snapshots": "SELECT as_of, location_id, version, cost_local, coverage_pct, imputed_share FROM v_snapshots",
@@ -13,13 +15,16 @@ TABLES = {
 }
 
 
-def replace(rows: DataFrame, store: str, name: str) -> None:
-    """Writes rows to the store's table, a folder a month; whole months are replaced, so writing them again changes nothing.
+def _table(spark: SparkSession, store: str, name: str) -> KeyedStore:
+    return KeyedStore(spark, f"{store}/{name}", "month")
 
-    rows: as_of and other columns; they hold all days of each of their months.
+
+def replace(rows: DataFrame, store: str, name: str, keys: tuple[str, ...] = ("as_of",)) -> int:
+    """Puts rows in the place of stored ones with the same keys: whole days, or with (as_of, location_id, version) single snapshots or their items alone.
+
+    Readers see the state before or after. The version of the new state.
     """
-    month = F.date_format("as_of", "yyyy-MM")
-    rows.withColumn("month", month).repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{store}/{name}")
+    return _table(rows.sparkSession, store, name).replace(rows.withColumn("month", F.date_format("as_of", "yyyy-MM")), list(keys))
 
 
 def publish(spark: SparkSession, sf_dir: str, store: str, since: str | None = None, until: str | None = None) -> None:
@@ -27,11 +32,15 @@ def publish(spark: SparkSession, sf_dir: str, store: str, since: str | None = No
     for name in ("snapshot_items", "snapshots"):
         rows, month = spark.sql(with_views(TABLES[name], True, sf_dir)), F.date_format("as_of", "yyyy-MM")
         rows = rows.where(month >= since) if since else rows
-        replace(rows.where(month <= until) if until else rows, store, name)
+        replace(stored(rows.where(month <= until) if until else rows, name), store, name)
 
 
-def read(spark: SparkSession, store: str, name: str = "snapshots") -> DataFrame:
-    return spark.read.parquet(f"{store}/{name}").drop("month")
+def read(spark: SparkSession, store: str, name: str = "snapshots", since: str | None = None) -> DataFrame:
+    """The newest state, or its months from ``since`` (yyyy-MM) on, whose folders alone are opened."""
+    rows = _table(spark, store, name).read(wanted=lambda month: since is None or month >= since)
+    if rows is None:
+        raise FileNotFoundError(f"no {name} in {store}")
+    return rows.drop("month")
 
 
 def latest_per_location(snapshots: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.operators.text import parse_number
+from pricewell.sources.scratch import released, stored
 
 REQUIRED = ["item", "price", "location"]
 # Headers that partners use, by field.
@@ -130,8 +131,8 @@ def checksum(spark: SparkSession, path: str) -> str:
 def import_file(spark: SparkSession, path: str, source: str, ledger: str, target: str, locations: DataFrame, units: list[str], currency: str, minor_units: int = 2) -> dict:
     """Appends a file's valid rows to ``target`` and a line to ``ledger`` (both Parquet folders); a file that the source gave before changes nothing.
 
-    The ledger is written last: a run that died before is repeated whole, and
-    its rows' keys are the same, so readers keep one row a key.
+    The rows lie in a folder of their file, by its checksum, and the ledger is
+    written last: a run that died before is repeated whole and replaces them.
     """
     sha = checksum(spark, path)
     known = spark.read.schema("source string, sha256 string, status string, accepted long, rejected long").option("ignoreMissingFiles", True)
@@ -146,10 +147,11 @@ def import_file(spark: SparkSession, path: str, source: str, ledger: str, target
     raw = read_delimited(spark, path)
     if raw.count() > MOST_ROWS:
         raise ValueError(f"more than {MOST_ROWS} rows")
-    rows = validated(mapped(raw, guess_mapping([c for c in raw.columns if c != "row_number"])), locations, units, currency, minor_units)
+    rows = stored(validated(mapped(raw, guess_mapping([c for c in raw.columns if c != "row_number"])), locations, units, currency, minor_units), "partner-rows")
     counts = rows.agg(F.count_if(F.size("errors") == 0).alias("accepted"), F.count_if(F.size("errors") > 0).alias("rejected")).first()
     good = rows.where(F.size("errors") == 0).withColumn("row_key", row_key(F.lit(sha), F.col("row_number")))
-    good.select("row_key", "item", F.col("price_value").alias("price"), "location_id", "currency", "unit", F.col("quantity_value").alias("quantity"), "observed_on", "external_id").write.mode("append").parquet(target)
+    good.select("row_key", "item", F.col("price_value").alias("price"), "location_id", "currency", "unit", F.col("quantity_value").alias("quantity"), "observed_on", "external_id", F.lit(sha).alias("file")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(target)
+    released(rows)
     status = "completed" if not counts["rejected"] else "partial" if counts["accepted"] else "failed"
     entry = (source, sha, status, counts["accepted"], counts["rejected"])
     spark.createDataFrame([entry], "source string, sha256 string, status string, accepted long, rejected long").write.mode("append").parquet(ledger)
