@@ -34,7 +34,7 @@ def context(observations: DataFrame) -> DataFrame:
     peers: medians come from places in sorted windows.
     """
     twins = Window.partitionBy(*_CELL, "observed_on", "reporter_id", "unit_price").orderBy("is_valid")
-    rows = observations.select(*_CELL, "observed_on", "reporter_id", "unit_price", "is_valid", F.row_number().over(twins).alias("copy"))
+    rows = stored(observations.select(*_CELL, "observed_on", "reporter_id", "unit_price", "is_valid", F.row_number().over(twins).alias("copy")), "observations")  # read by each of the steps below
     valid, group = rows.where("is_valid"), [*_CELL, "as_of"]
     cells = rows.select(*_CELL, *_SELF, F.col("observed_on").alias("as_of"))
     seen = F.explode(F.sequence("observed_on", F.date_add("observed_on", PEER_DAYS)))

@@ -25,7 +25,9 @@ WIDTH, GRAMS = 512, (2, 3, 4)
 #: Vectors that the centres are fitted on at most; centres at most; steps of fitting; rows of a block in a cell.
 SAMPLE, CELLS, STEPS, BLOCK = 20_000, 1024, 12, 1024
 #: Share of the sample's own neighbours whose cells a query has to look into; queries and neighbours that it is measured on; cells at least.
-COVERED, MEASURED, LEAST_PROBES = 0.97, (256, 10), 4
+COVERED, MEASURED, LEAST_PROBES = 0.95, (256, 10), 4
+#: Rows that a task gathers before it leaves each query its best.
+GATHERED = 200_000
 
 
 def vector_of(text: str, width: int = WIDTH) -> np.ndarray:
@@ -124,6 +126,17 @@ def _placed(vectors: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     return vectors.select(F.col("id").cast("long"), "vector").where("id is not null and vector is not null").mapInArrow(task, "cell int, ids binary, data binary")
 
 
+def _best(held: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of all that is held; ties go to the smaller id."""
+    query, found, score = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((found, -score, query))
+    query, found, score = query[order], found[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.concatenate([first, [len(query)]])))
+    keep = place < k
+    return query[keep], found[keep], score[keep]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, cells: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """query_id, id, rank, score: of the vectors in each query's nearest cells the k of greatest cosine, the query's own id left out; ties go to the smaller id.
 
@@ -140,15 +153,24 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, cells: tuple[np.ndar
     met = _placed(vectors, centres, 1).join(asked, "cell")
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0  # (query, id, score) columns
         for batch in batches:
             for ids, data, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 scores = (np.frombuffer(q_data, np.float32).reshape(len(q_ids), -1) @ np.frombuffer(data, np.float32).reshape(len(ids), -1).T).astype(float)
                 scores[q_ids[:, None] == ids[None, :]] = -np.inf
-                for row, query in zip(scores, q_ids, strict=True):
-                    best = np.lexsort((ids, -row))[:k]
-                    best = best[np.isfinite(row[best])]
-                    yield pa.record_batch([pa.array(np.full(len(best), query)), pa.array(ids[best]), pa.array(row[best])], names=["query_id", "id", "score"])
+                if len(ids) > k:
+                    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                    row, column = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))  # ties of the k-th stay for now
+                else:
+                    row, column = np.nonzero(np.isfinite(scores))
+                held.append((q_ids[row], ids[column], scores[row, column]))
+                rows += len(row)
+                if rows >= GATHERED:
+                    held, rows = [_best(held, k)], 0
+        if held:
+            query, found, score = _best(held, k)
+            yield pa.record_batch([pa.array(query), pa.array(found), pa.array(score)], names=["query_id", "id", "score"])
 
     found = met.select("ids", "data", "q_ids", "q_data").mapInArrow(task, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

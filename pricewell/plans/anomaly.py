@@ -82,13 +82,13 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def others(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each estimate's item on its day at the other places: the median, from places in one sort of them."""
-    rows = spark.sql(with_views("SELECT as_of, location_id, item, value FROM v_estimates", True, sf_dir))
+    rows = stored(spark.sql(with_views("SELECT as_of, location_id, item, value FROM v_estimates", True, sf_dir)), "estimates")
     return without_own(rows, ["as_of", "item"], ["location_id"], "value").where("n > 0").select("as_of", "location_id", "item", F.col("median").alias("others"))
 
 
 def bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reporters of 15 valid prices or more whose lowest tenth of ratios to other reporters' medians stands apart from that of the others; reporters are few beside prices."""
-    rows = spark.sql(with_views("SELECT location_id, item, reporter_id, unit_price FROM v_obs WHERE is_valid", True, sf_dir))
+    rows = stored(spark.sql(with_views("SELECT location_id, item, reporter_id, unit_price FROM v_obs WHERE is_valid", True, sf_dir)), "prices")
     medians = without_own(rows, ["location_id", "item"], ["reporter_id"], "unit_price").where("median > 0").drop("n")
     ratios = rows.join(medians, ["location_id", "item", "reporter_id"]).withColumn("ratio", F.col("unit_price") / F.col("median"))
     each = stored(ratios.groupBy("reporter_id").agg(F.count("*").alias("n"), F.percentile("ratio", 0.1).alias("ratio")).where("n >= 15"), "reporter-ratios")
