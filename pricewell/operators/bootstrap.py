@@ -54,7 +54,14 @@ def basket_interval(components: DataFrame, keys: list[str], draws: int = DRAWS)
     number, so an imputed item may give its low, middle and high price. One of
     no samples is left out, as a basket without any component is.
     """
-    rows = components.where(F.size("samples") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    value = F.element_at("samples", (F.col("draw") % F.size("samples") + 1).cast("int"))
-    totals = rows.groupBy(*keys, "draw").agg(F.sum(F.col("quantity") * value).alias("total"))
-    return totals.groupBy(*keys).agg(F.percentile("total", 0.025).alias("lo"), F.percentile("total", 0.975).alias("hi"))
+    part = F.struct("quantity", "samples")
+    baskets = components.where(F.size("samples") > 0).groupBy(*keys).agg(F.sort_array(F.collect_list(part)).alias("parts"))  # a basket's items
+    total = lambda k: F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + p["quantity"] * F.element_at(p["samples"], (k % F.size(p["samples"]) + 1).cast("int")))
+    totals = baskets.select(*keys, F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), total)).alias("_t"))
+
+    def at(share: float):
+        place = share * (draws - 1)
+        low, high = int(place), min(int(place) + 1, draws - 1)
+        return F.col("_t")[low] + (F.col("_t")[high] - F.col("_t")[low]) * F.lit(place - low)
+
+    return totals.select(*keys, at(0.025).alias("lo"), at(0.975).alias("hi"))

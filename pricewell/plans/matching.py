@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.operators import matching, semantic
+from pricewell.operators import matching, semantic, verifier
 from pricewell.operators.text import normalise
 from pricewell.sources.scratch import stored
 
@@ -65,6 +65,18 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.select("slip", "n", *(F.round(c, 4).alias(c) for c in figures.columns[2:]))
 
 
+def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verifier over every typed part, and over as many that the catalogue lacks: a brand where the name was."""
+    known = stored(catalogue(spark, sf_dir), "catalogue")
+    strange = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit(None).cast("bigint").alias("item"), F.concat_ws(" ", F.lower("p_brand"), F.element_at(F.split("p_name", " "), -1), F.lower("p_type")).alias("text"))
+    texts = typed(spark, sf_dir).select("item", "text").unionByName(strange).select("item", normalise(F.col("text")).alias("text"))
+    asked = stored(texts.groupBy("text").agg(F.collect_set("item").alias("items")), "asked")
+    found = stored(matching.candidates(asked.select("text"), known, 5, semantic.search(asked.select("text"), known, 15)), "candidates")
+    rows = verifier.features(found, known).join(asked, "text").withColumn("correct", F.array_contains("items", F.col("item")).cast("int")).drop("items")
+    out = verifier.judged(verifier.cross_validated(rows))
+    return out.select("n", *(F.round(c, 3).alias(c) for c in out.columns[1:]))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
@@ -88,6 +100,7 @@ def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNCHECKED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "i13_match_many": matched,
     "d25_match_metrics": metrics,
+    "d31_verifier": verified,
     "i7_vector_index": indexed,
     "i7_index_recall": recall,
 }

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pricewell.operators import matching, semantic
+from pricewell.operators import matching, semantic, verifier
 from pricewell.plans import matching as plans
 from pricewell.plans.frames import UNITS
 
@@ -131,3 +131,30 @@ def test_match_many_by_both_signals(spark):
     texts = spark.createDataFrame([("WHITE RICE",), ("sunflwr oil",), ("te",), ("",), (None,)], "text string")
     got = {r["text"]: (r["item"], r["action"]) for r in matching.match_many(texts, variants, search=semantic.search).collect()}
     assert got["WHITE RICE"] == (1, "auto_resolve") and got["sunflwr oil"][0] == 2 and got["te"][1] == "reject" and got[""] == got[None] == (None, "reject")
+
+
+def test_verifier_features_by_hand(spark):
+    variants = spark.createDataFrame([(1, "white rice 5 kg"), (1, "basmati"), (2, "olive oil")], "item long, variant string")
+    found = spark.createDataFrame([("rice 25 kg sack", 1, 0.8, 0.5, 0.7, 1), ("rice 25 kg sack", 2, 0.1, 0.1, 0.2, 2), ("oil", 2, 1.0, 0.0, 1.0, 1)], "text string, item long, lexical double, semantic double, fused double, rank int")
+    got = {r["text"]: [round(r[c], 6) for c in verifier.FEATURES] for r in verifier.features(found, variants).collect()}
+    assert got["rice 25 kg sack"] == [0.8, 0.5, 0.7, 0.5, 0.5, 0.5, 2.0, 0.0, 1.0, 1.0, 0.5, 0.5]
+    assert got["oil"] == [1.0, 0.0, 1.0, 1.0, 1.0, 0.5, 0.0, 1.0, 0.0, round(3 / 9, 6), 0.0, 0.0]
+
+
+def test_verifier_is_judged_out_of_fold(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"t{i}", 1, *(float(x) for x in rng.normal(2.0 * (i % 2), 1, 12)), i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "text string, item long, " + ", ".join(f"{c} double" for c in verifier.FEATURES) + ", correct int")
+    scored = verifier.cross_validated(df)
+    (row,) = verifier.judged(scored).collect()
+    assert row["n"] == 600 and row["auc"] > 0.97 and row["recall"] >= 0.95 and row["prec"] > 0.9
+    pure = rng.permutation(np.repeat([0, 1], 300)).tolist()
+    noise = [(*r[:2], *(float(x) for x in rng.normal(0, 1, 12)), y) for r, y in zip(rows, pure, strict=True)]
+    (row,) = verifier.judged(verifier.cross_validated(spark.createDataFrame(noise, df.schema))).collect()
+    assert abs(row["auc"] - 0.5) < 0.1  # nothing learned in one fold shows in another
+    assert verifier.judged(scored.where("correct = 1")).count() == 0
+
+
+def test_verifier_query(spark):
+    (row,) = plans.verified(spark, SF).collect()
+    assert row["auc"] > 0.8 and row["recall"] >= 0.95 and 0 < row["kept"] < 1
