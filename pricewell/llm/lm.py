@@ -3,11 +3,13 @@
 Every training n-gram's count is quantised to a level on a logarithmic scale,
 and the filter holds the n-gram once for each level up to its own. A count is
 read back by probing level after level until one is missing. Workers get the
-filter by broadcast; its size is bounded (MOST_BITS). Where not all n-grams fit,
-it holds the levels from some level on, and tokens with an n-gram that it doesn't
-hold are joined with the levels of the others, so every counted n-gram is in the
-model at every size. Counts are exact sums over all training texts, made with
-partial sums before the shuffle.
+filter by broadcast; its size is bounded (MOST_BITS). N-grams that occur once are
+most of all n-grams and never enter it; where the others don't all fit, it holds
+the levels from some higher level on. Tokens with an n-gram that it doesn't hold
+are joined with the levels of the others, so every n-gram of the training texts
+is in the model at every size. If the filter lacks single occurrences alone,
+training texts need no join: what it doesn't hold of theirs occurs once. Counts
+are exact sums over all training texts, made with partial sums before the shuffle.
 
 The base score needs exact counts of single words: the HEAD most frequent words
 are broadcast, and only the other words of each text are joined with their
@@ -41,8 +43,8 @@ GROUPS = 64
 #: Ratio of two levels' counts, and the levels there are.
 RATIO = 1.5
 LEVELS = 64
-#: A pair of words counts for the model from this count on.
-LEAST_PAIR = 2
+#: Level of what occurs once; the filter holds higher ones.
+ONCE = 1
 #: Weight of the pair's own ratio against the single word's.
 PAIR_WEIGHT = 0.5
 #: Tokens counted at once within a task.
@@ -76,7 +78,7 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def count_ngrams(docs: DataFrame, training: Column) -> DataFrame:
-    """h long, n long: exact counts of words (even h) and of pairs (odd h) with LEAST_PAIR or more, over the training rows."""
+    """h long, n long: exact counts of all words (even h) and all pairs (odd h), over the training rows."""
 
     @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +104,7 @@ def count_ngrams(docs: DataFrame, training: Column) -> DataFrame:
         yield from flush()
 
     rows = docs.where(training).select(F.col("text").cast("string")).mapInArrow(task, "h long, n long")
-    return rows.groupBy("h").agg(F.sum("n").alias("n")).where(f"h % 2 = 0 or n >= {LEAST_PAIR}")
+    return rows.groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _spread(keys: np.ndarray, level: int) -> np.ndarray:
@@ -147,7 +149,7 @@ def build(counts: DataFrame) -> tuple[Filter, int]:
     """The filter of stored counts and the least level in it; its blocks are made by the tasks and put together on the driver, MOST_BITS at most."""
     leveled = counts.select("h", level_of(F.col("n")).alias("level"))
     sizes = {r["level"]: r["count"] for r in leveled.groupBy("level").count().collect()}
-    least = 1
+    least = ONCE + 1
     while (entries := sum(v * k for k, v in sizes.items() if k >= least)) * BITS_PER_ENTRY > MOST_BITS and least < LEVELS:
         least += 1
     per_group = max(1, min(math.ceil(entries * BITS_PER_ENTRY / BLOCK_BITS / GROUPS), MOST_BITS // BLOCK_BITS // GROUPS))
@@ -224,24 +226,26 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
                 settled = in_head | whole_head
                 base = np.where(settled, np.log10((exact + 0.5) / scale), 0.0)
 
+                # If the filter lacks single occurrences alone, what it doesn't hold of a training text occurs once.
+                once = np.repeat(batch.column(2).slice(w.first, len(w)).to_numpy(zero_copy_only=False) & (least == ONCE + 1), n)
                 level = bloom.levels(unique)
-                guess, found = COUNTS[level], level >= least
-                single = guess[back]
+                found = (level >= least)[back]
+                single = np.where(once & ~found, 1.0, COUNTS[level][back])
                 pairs = pair_keys(before, t)
                 pair, pair_back = np.unique(pairs, return_inverse=True)
                 pair_level = bloom.levels(pair)[pair_back]
-                pair_count = COUNTS[pair_level]
+                pair_count = np.where(once & (pair_level < least), 1.0, COUNTS[pair_level])
                 before_count = np.empty(len(t))
                 before_count[1:] = single[:-1]
                 before_count[bounds[:-1]] = max(starts, 1)
                 ratio = np.minimum(pair_count / np.maximum(before_count, 1.0), 1.0)
                 p = np.log10((1 - PAIR_WEIGHT) * (single + 0.5) / scale + PAIR_WEIGHT * ratio)
-                open_single, open_pair = ~found[back], pair_level < least
+                open_single, open_pair = ~(found | once), (pair_level < least) & ~once
                 open_before = np.concatenate([[False], open_single[:-1]])
                 open_before[bounds[:-1]] = False
-                # A filter of all n-grams settles every token.
-                unsure = np.flatnonzero(open_single | open_pair | open_before) if least > 1 else np.zeros(0, np.int64)
-                p[unsure] = 0.0
+                words_open = open_single | open_before
+                unsure, pair_only = np.flatnonzero(words_open), np.flatnonzero(open_pair & ~words_open)
+                p[unsure] = p[pair_only] = 0.0
                 sums = lambda x, b=bounds: np.add.reduceat(x, b[:-1])
                 rows = np.arange(row, row + len(n))
                 row += len(n)
@@ -250,37 +254,51 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
                 late = np.flatnonzero(~settled[back])
                 if len(late):
                     yield _batch(len(late), row=pa.array(of[late]), h=pa.array(unique[back[late]].view(np.int64)), k=pa.array(np.ones(len(late), np.int64)))
+                if len(pair_only):
+                    yield _batch(len(pair_only), row=pa.array(of[pair_only]), pair_h=pa.array(pairs[pair_only].view(np.int64)), single_n=pa.array(single[pair_only]), before_n=pa.array(before_count[pair_only]))
                 if len(unsure):
                     h = unique[back].view(np.int64)
                     previous = np.concatenate([[0], h[:-1]])
                     known = lambda c, o: pa.array(c[unsure], mask=o[unsure])  # noqa: B023, E731
                     yield _batch(len(unsure), row=pa.array(of[unsure]), at=pa.array(unsure), single_h=pa.array(h[unsure]), single_n=known(single, open_single), pair_h=pa.array(pairs[unsure].view(np.int64)), pair_n=known(pair_count, open_pair), before_h=pa.array(previous[unsure]), before_n=known(before_count, open_before))
 
-    rows = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, SCHEMA), "scores")
-    done = rows.where("h is null and at is null")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(training, F.lit(False)).alias("training"))
+    rows = stored(texts.mapInArrow(task, SCHEMA), "scores")
+    done = rows.where("n_tokens is not null")
     if not whole_head:
         log = lambda c: F.log10((c + F.lit(0.5)) / F.lit(scale))
         n = F.coalesce(F.col("c"), F.lit(0))
         late = rows.where("h is not null").groupBy("row", "h").agg(F.sum("k").alias("k")).join(singles.select("h", F.col("n").alias("c")), "h", "left")
         late = late.groupBy("row").agg(F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * log(n)).alias("rest"))
         done = done.join(late, "row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("more", F.lit(0)), "base_score": F.col("base_score") + F.coalesce("rest", F.lit(0.0))})
-    if least > 1:
-        rest = _late_scores(rows.where("at is not null"), counts.select("h", level_of(F.col("n")).alias("level")).where(F.col("level") < least), scale)
-        done = done.join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("late_score", F.lit(0.0)))
+    rest = _late_scores(rows, counts.select("h", level_of(F.col("n")).alias("level")).where(F.col("level") < least), scale)
+    done = done.join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("late_score", F.lit(0.0)))
     return done.select("doc_id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _late_scores(tokens: DataFrame, levels: DataFrame, scale: float) -> DataFrame:
-    """row, late_score: of the tokens with n-grams that the filter doesn't hold; levels: h, level of these."""
-    roles = ("single", "pair", "before")
-    grams = tokens.select("row", "at", F.inline(F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"{r}_h").alias("h"), F.col(f"{r}_n").alias("n")) for r in roles))))
+def _late_scores(rows: DataFrame, levels: DataFrame, scale: float) -> DataFrame:
+    """row, late_score: of the tokens with n-grams that the filter doesn't hold; levels: h, level of these.
+
+    Tokens that lack their pair alone carry the words' counts with them and have no
+    place (at); of the others each n-gram is a row of its own. All are looked up in
+    one join, so the levels are shuffled once.
+    """
     numbers = F.array(*(F.lit(float(c)) for c in COUNTS))
-    joined = grams.where("n is null").drop("n").join(levels, "h", "left").select("row", "at", "role", F.element_at(numbers, F.coalesce("level", F.lit(0)) + 1).alias("n"))
-    grams = grams.where("n is not null").select("row", "at", "role", "n").unionByName(joined)
-    whole = grams.groupBy("row", "at").agg(*(F.max(F.when(F.col("role") == r, F.col("n"))).alias(r) for r in roles))
-    ratio = F.least(F.col("pair") / F.greatest(F.col("before"), F.lit(1.0)), F.lit(1.0))
-    p = F.log10(F.lit(1 - PAIR_WEIGHT) * (F.col("single") + F.lit(0.5)) / F.lit(scale) + F.lit(PAIR_WEIGHT) * ratio)
-    return whole.groupBy("row").agg(F.sum(p).alias("late_score"))
+    none = F.lit(None).cast("double")
+
+    def p(single: str, pair: str, before: str) -> Column:
+        ratio = F.least(F.col(pair) / F.greatest(F.col(before), F.lit(1.0)), F.lit(1.0))
+        return F.log10(F.lit(1 - PAIR_WEIGHT) * (F.col(single) + F.lit(0.5)) / F.lit(scale) + F.lit(PAIR_WEIGHT) * ratio)
+
+    roles = ("single", "pair", "before")
+    grams = rows.where("at is not null").select("row", "at", F.inline(F.array(*(F.struct(F.lit(i).alias("role"), F.col(f"{r}_h").alias("h"), F.col(f"{r}_n").alias("n")) for i, r in enumerate(roles)))))
+    pairs = rows.where("pair_h is not null and at is null").select("row", "at", F.lit(roles.index("pair")).alias("role"), F.col("pair_h").alias("h"), "single_n", "before_n")
+    asked = pairs.unionByName(grams.where("n is null").select("row", "at", "role", "h", none.alias("single_n"), none.alias("before_n")))
+    joined = asked.join(levels, "h", "left").withColumn("n", F.element_at(numbers, F.coalesce("level", F.lit(0)) + 1))
+    joined = joined.select("row", "at", "role", "n", F.when(F.col("at").isNull(), p("single_n", "n", "before_n")).alias("p"))
+    whole = joined.unionByName(grams.where("n is not null").select("row", "at", "role", "n", none.alias("p")))
+    whole = whole.groupBy("row", "at").agg(F.sum("p").alias("p"), *(F.max(F.when(F.col("role") == i, F.col("n"))).alias(r) for i, r in enumerate(roles)))
+    return whole.groupBy("row").agg(F.sum(F.when(F.col("at").isNull(), F.col("p")).otherwise(p(*roles))).alias("late_score"))
 
 
 SCHEMA = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, h long, k long, at long, single_h long, single_n double, pair_h long, pair_n double, before_h long, before_n double"
