@@ -258,6 +258,7 @@ class Join:
         return self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def sets(self, keys: DataFrame) -> DataFrame:
+        """key, grams: the keys' sets, stored; shuffled only where a doc_id that repeats gives a key more than once."""
         n = self.rule.n
 
         @trimmed
@@ -268,7 +269,12 @@ class Join:
                     bounds = np.cumsum([0, *map(len, sets)])
                     yield pa.record_batch([pa.array([set_key(s) for s in sets], pa.int64()), packed(np.concatenate(sets), bounds)], names=["key", "grams"])
 
-        return self.texts(keys).mapInArrow(task, "key long, grams binary").dropDuplicates(["key"])
+        sets = stored(self.texts(keys).mapInArrow(task, "key long, grams binary"), "grams")
+        if sets.groupBy("key").count().where("count > 1").isEmpty():
+            return sets
+        once = stored(sets.dropDuplicates(["key"]), "grams")
+        released(sets)
+        return once
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose bitmaps allow similarity."""
@@ -288,10 +294,12 @@ class Join:
         return rows.mapInArrow(task, "a long, b long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that are similar, by their sets."""
-        sets = stored(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("key"))), "grams")
-        for side in "ab":
-            pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("grams").alias(f"set_{side}")), side)
+        """Pairs (a, b) that are similar, by their sets. Each side meets only the sets that it names; a node has few a, an a many nodes, so b comes first."""
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+        named = pairs
+        for side in "ba":
+            own = sets.select(F.col("key").alias(side), F.col("grams").alias(f"set_{side}")).join(named.select(side).distinct(), side, "left_semi")
+            pairs = pairs.join(own, side)
         percent = self.rule.percent
 
         @trimmed
