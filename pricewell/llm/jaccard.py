@@ -12,10 +12,11 @@ together. Candidates pass a parity bitmap, whose distance never exceeds the
 sets' true difference, and are then verified on the sets themselves.
 
 A group of the index yields all its pairs only up to RARE members. Of a larger
-group each member is paired with one leader; members that then still lie outside
-the leader's component are compared with all others block by block, so no link
-between components is lost. Which grams count as frequent changes the amount of
-work, never the result.
+group each member is paired with one leader, its smallest key; large groups of
+one leader, which near copies have by the dozen, count as one from there on.
+Members that then still lie outside the leader's component are compared with all
+others block by block, so no link between components is lost. Which grams count
+as frequent changes the amount of work, never the result.
 """
 
 from __future__ import annotations
@@ -324,7 +325,7 @@ class Join:
         return rows.where(most * (100 + p) >= (F.col("n_a") + F.col("n_b")) * p).select("a", "b").distinct()
 
     def groups(self) -> tuple[DataFrame, DataFrame]:
-        """Postings of groups up to RARE, and the members (h, key, n, c, lead) of larger ones; lead is the group's smallest key."""
+        """Postings of groups up to RARE, and the members (lead, key, n) of larger ones; lead is the group's smallest key, and stands for all groups that it leads."""
         rows = index_grams(self.docs, self.rule, self.frequent()).repartition("h").distinct()
         single = stored(rows.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c >= 2 or at < 0"), "groups")
         frequent = single.where((F.col("c") > RARE) | (F.col("at") < 0)).select("key")
@@ -333,7 +334,8 @@ class Join:
         members = stored(combined.join(sizes, "h"), "groups")
         released(combined)
         small = single.where((F.col("c") <= RARE) & (F.col("at") >= 0)).select("h", "key", "n", "at")
-        return small.unionByName(members.where(F.col("c") <= RARE).select("h", "key", "n", "at")), members.where(F.col("c") > RARE).drop("at")
+        large = stored(members.where(F.col("c") > RARE).select("lead", "key", "n").distinct(), "large")
+        return small.unionByName(members.where(F.col("c") <= RARE).select("h", "key", "n", "at")), large
 
     def labels(self) -> DataFrame:
         """key, root of every class that is linked with another; root is a key."""
@@ -363,38 +365,40 @@ class Join:
         """Adds the links between members of large groups that lie in different components so far."""
         roots = components(links)
         rows = large.join(roots.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("root", F.coalesce("component", "key")).drop("component")
-        mixed = rows.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min_by("root", "key").alias("main")).where("x != y").select("h", "main")
-        rows = stored(rows.join(mixed, "h"), "mixed")
-        own = rows.groupBy("key").agg(F.collect_set("h").alias("groups"))  # as many as the set's parts at most
-        rows = rows.join(own, "key").join(self.classes.select("key", "bitmap"), "key")
+        rows = stored(rows, "rooted")
+        mixed = rows.groupBy("lead").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y"), F.min_by("root", "key").alias("main")).where("x != y").select("lead", "c", "main")
+        rows = stored(rows.join(mixed, "lead"), "mixed")
+        # Leads (as many as the set's parts at most) and bitmaps meet by key before the rows, which repeat a key, carry them.
+        own = rows.groupBy("key").agg(F.collect_set("lead").alias("leads")).join(self.classes.select("key", "bitmap"), "key")
+        rows = rows.join(own, "key")
         # Members of the leader's component need no comparison with each other, so their blocks meet only blocks of the rest.
         block = F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / BLOCK).cast("long"))
-        blocks = rows.groupBy("h", (F.col("root") == F.col("main")).alias("inner"), block.alias("block")).agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("sizes"), F.collect_list("root").alias("roots"), F.collect_list("bitmap").alias("maps"), F.collect_list("groups").alias("groups"))
+        blocks = rows.groupBy("lead", (F.col("root") == F.col("main")).alias("inner"), block.alias("block")).agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("sizes"), F.collect_list("root").alias("roots"), F.collect_list("bitmap").alias("maps"), F.collect_list("leads").alias("leads"))
         blocks = stored(blocks, "blocks")
-        a, b = (blocks.select("h", F.col("inner").alias(f"inner_{x}"), F.col("block").alias(f"block_{x}"), F.struct("keys", "sizes", "roots", "maps", "groups").alias(x)) for x in "ab")
+        a, b = (blocks.select("lead", F.col("inner").alias(f"inner_{x}"), F.col("block").alias(f"block_{x}"), F.struct("keys", "sizes", "roots", "maps", "leads").alias(x)) for x in "ab")
         rule = self.rule
 
         @trimmed
         def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for h, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                    found = set(_near_blocks(h, _Block(x), _Block(y), rule))
+                for lead, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    found = set(_near_blocks(lead, _Block(x), _Block(y), rule))
                     if found:
                         yield pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
-        met = a.join(b, "h").where("not inner_a and (inner_b or block_a <= block_b)").select("h", "a", "b")
+        met = a.join(b, "lead").where("not inner_a and (inner_b or block_a <= block_b)").select("lead", "a", "b")
         near = stored(met.mapInArrow(task, "a long, b long").distinct(), "near", BLOCK_ROWS)
         released(blocks)
         return self.joined(links, near, roots)
 
 
 class _Block:
-    """Members of a group: keys, sizes, roots, and bitmaps folded to the smallest one's cells."""
+    """Members of a lead's groups: keys, sizes, roots, leads, and bitmaps folded to the smallest one's cells."""
 
     def __init__(self, row: pa.StructScalar) -> None:
         keys, sizes, roots, maps = (row[name].as_py() for name in ("keys", "sizes", "roots", "maps"))
         self.keys, self.sizes, self.roots = (np.array(x, np.int64) for x in (keys, sizes, roots))
-        self.groups = [set(x) for x in row["groups"].as_py()]
+        self.leads = [set(x) for x in row["leads"].as_py()]
         self.least = min(map(len, maps))
         self.maps = maps
 
@@ -406,8 +410,8 @@ class _Block:
         return out
 
 
-def _near_blocks(h: int, x: _Block, y: _Block, rule: Rule) -> Iterator[tuple[int, int]]:
-    """Pairs of different components that sizes and bitmaps allow, smaller key first; of all groups that hold a pair only the least gives it."""
+def _near_blocks(lead: int, x: _Block, y: _Block, rule: Rule) -> Iterator[tuple[int, int]]:
+    """Pairs of different components that sizes and bitmaps allow, smaller key first; of all leads that hold a pair only the least gives it."""
     size = min(x.least, y.least)
     a, b = x.folded(size), y.folded(size)
     for i in range(len(a)):
@@ -416,7 +420,7 @@ def _near_blocks(h: int, x: _Block, y: _Block, rule: Rule) -> Iterator[tuple[int
         ok = (differ <= total * (100 - rule.percent) // (100 + rule.percent)) & (x.roots[i] != y.roots)
         ok &= np.maximum(x.sizes[i], y.sizes) * rule.percent <= 100 * np.minimum(x.sizes[i], y.sizes)
         for j in np.flatnonzero(ok).tolist():
-            if min(x.groups[i] & y.groups[j]) == h:
+            if min(x.leads[i] & y.leads[j]) == lead:
                 yield min(int(x.keys[i]), int(y.keys[j])), max(int(x.keys[i]), int(y.keys[j]))
 
 
