@@ -41,6 +41,8 @@ MOST_COMMON = 1_000_000
 MARGIN_PART, MARGIN = 4, 8
 #: Members of a block of a large group; blocks are compared as a whole, and only pairs that may be similar become rows.
 BLOCK = 256
+#: Cells of a bitmap at least. A set of 40 grams in 64 cells hides so much of a difference that many pairs beyond the limit pass.
+CELLS = 256
 #: Grams counted at once within a task.
 RUN = 4_000_000
 #: Representatives up to which their ids are broadcast to pick their texts.
@@ -94,8 +96,8 @@ def set_key(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A bit for each of as many cells as the set has grams (a power of two, 64 at least): whether an odd number of grams fall there."""
-    cells = max(64, 1 << (len(s) - 1).bit_length())
+    """A bit for each of as many cells as the set has grams (a power of two, CELLS at least): whether an odd number of grams fall there."""
+    cells = max(CELLS, 1 << (len(s) - 1).bit_length())
     odd = np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(bool))
 
