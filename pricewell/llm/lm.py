@@ -54,6 +54,7 @@ END = np.uint64(0x5851F42D4C957F2C)
 START = np.uint64(0x14057B7EF767814E)
 _ONE = np.uint64(1)
 _RATIO_LOG = math.log(RATIO)
+_BIT = np.uint8(1) << np.arange(8, dtype=np.uint8)
 
 
 def single_keys(hashes: np.ndarray) -> np.ndarray:
@@ -121,21 +122,31 @@ class Filter(NamedTuple):
         return mix(keys) % np.uint64(self.blocks)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """0 where a key isn't held, else the highest level in a row that is found."""
+        """0 where a key isn't held, else the highest level in a row that is found. Keys are probed block by block, so a block's bits are near when they are read."""
         out = np.zeros(len(keys), np.int64)
-        active, own = np.arange(len(keys)), self.block(keys) * np.uint64(BLOCK_BITS)
+        block = self.block(keys)
+        active = np.argsort(block.astype(np.uint16) if self.blocks <= 1 << 16 else block, kind="stable")  # 16 bits are sorted by digits
+        mine, own = keys[active], block[active] * np.uint64(BLOCK_BITS)
         for level in range(1, LEVELS + 1):
-            h = _spread(keys[active], level)
+            h = _spread(mine, level)
             for _ in range(HASHES):
-                at = own + (h & np.uint64(BLOCK_BITS - 1))
-                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                active, own, h = active[hit], own[hit], h[hit] >> np.uint64(16)
-                if not len(active):
+                at = (own + (h & np.uint64(BLOCK_BITS - 1))).view(np.int64)
+                hit = np.flatnonzero(self.bits[at >> 3] & _BIT[at & 7])
+                if not len(hit):
                     return out
+                active, mine, own, h = active[hit], mine[hit], own[hit], h[hit] >> np.uint64(16)
             out[active] = level
         return out
 
 
+def word_levels(bloom: Filter, keys: np.ndarray, in_head: np.ndarray, at: np.ndarray, head_levels: np.ndarray) -> np.ndarray:
+    """The filter's levels of the keys; it is asked for those alone that are not in the head, whose levels (at) it gave before."""
+    out = np.zeros(len(keys), np.int64)
+    out[in_head] = head_levels[at[in_head]]
+    out[~in_head] = bloom.levels(keys[~in_head])
+    return out
+
+
 def level_of(n: Column) -> Column:
     return F.least(F.lit(LEVELS), F.floor(F.log(n.cast("double")) / F.lit(_RATIO_LOG) + F.lit(1e-9)).cast("int") + 1)
 
@@ -204,15 +215,16 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     head = most_frequent(singles, HEAD, kinds).toArrow().sort_by("h")
     whole_head = kinds <= HEAD
     bloom, least = build(counts)
-    shared = spark.sparkContext.broadcast((bloom, *(head.column(c).to_numpy() for c in ("h", "n"))))
     scale = total + 0.5 * (kinds + 1)
     starts = int(END.view(np.int64) & ~1)  # the end token's count: training texts
     head_keys, head_counts = (head.column(c).to_numpy() for c in ("h", "n"))
     starts = int(head_counts[head_keys == starts].sum())
+    # The filter is asked for the head's words once here, not by every task for every run of texts.
+    shared = spark.sparkContext.broadcast((bloom, head_keys, head_counts, bloom.levels(head_keys.view(np.uint64)).astype(np.uint8)))
 
     @trimmed
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, keys, ns = shared.value
+        bloom, keys, ns, head_levels = shared.value
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 33
         for batch in batches:
@@ -228,7 +240,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
 
                 # If the filter lacks single occurrences alone, what it doesn't hold of a training text occurs once.
                 once = np.repeat(batch.column(2).slice(w.first, len(w)).to_numpy(zero_copy_only=False) & (least == ONCE + 1), n)
-                level = bloom.levels(unique)
+                level = word_levels(bloom, unique, in_head, at, head_levels)
                 found = (level >= least)[back]
                 single = np.where(once & ~found, 1.0, COUNTS[level][back])
                 pairs = pair_keys(before, t)
