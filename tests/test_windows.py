@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from pricewell.operators import windows
+from pricewell.operators import anomaly, medians, windows
 from pricewell.plans import catalog, estimates
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +62,22 @@ def test_weighted_medians(spark, monkeypatch, chunk):
                     found.append(p)
             want[place, item, day(i)] = (len(seen), min(found), [p for p, _ in seen[:2]])
     assert got == want and got[9, "a", day(0)][1] == 2.0
+
+
+def test_cuts_that_come_out_otherwise_each_time(spark, monkeypatch):
+    """Approximate quantiles depend on the order of rows, so no two evaluations need agree."""
+    drawn = F.udf(lambda top: sorted(random.uniform(0, top) for _ in range(15)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(medians.F, "percentile_approx", lambda value, *a: drawn(F.max(value)))
+    rng = random.Random(5)
+    rows = [(rng.randrange(2), day(rng.randrange(60)), rng.randrange(400) / 4) for _ in range(1200)]
+    got = {(r["k"], r["as_of"]): r["median"] for r in medians.sliding_median(spark.createDataFrame(rows, "k int, d date, v double"), ["k"], "d", "v", 20).collect()}
+    for (k, on), median in got.items():
+        assert median == statistics.median(v for a, d, v in rows if a == k and on - datetime.timedelta(20) <= d <= on)
+    assert len(got) == 160
+
+
+def test_observations_without_place_or_day_are_kept(spark):
+    rows = [(1, "a", day(3), 2.0, 1, True), (1, "a", day(4), 4.0, 1, True), (None, "a", day(4), 4.0, 1, True), (1, "a", None, 4.0, 1, True)]
+    df = spark.createDataFrame(rows, "location_id long, item string, observed_on date, unit_price double, reporter_id long, is_valid boolean")
+    got = sorted((str(r["location_id"]), str(r["observed_on"]), r["n_peers"], r["local_median"]) for r in anomaly.context(df).collect())
+    assert got == [("1", str(day(3)), 0, None), ("1", str(day(4)), 1, 2.0), ("1", "None", 0, None), ("None", str(day(4)), 0, None)]
