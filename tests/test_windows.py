@@ -81,3 +81,18 @@ def test_observations_without_place_or_day_are_kept(spark):
     df = spark.createDataFrame(rows, "location_id long, item string, observed_on date, unit_price double, reporter_id long, is_valid boolean")
     got = sorted((str(r["location_id"]), str(r["observed_on"]), r["n_peers"], r["local_median"]) for r in anomaly.context(df).collect())
     assert got == [("1", str(day(3)), 0, None), ("1", str(day(4)), 1, 2.0), ("1", "None", 0, None), ("None", str(day(4)), 0, None)]
+
+
+def test_place_medians(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(4), rng.choice("ab"), day(rng.randrange(70)), rng.randrange(400) / 4) for _ in range(500)]
+    df = spark.createDataFrame(rows, "location_id long, item string, observed_on date, unit_price double")
+    spans = {"now": (0, 3), "old": (4, 30)}
+    got = {(r["item"], r["as_of"], r["location_id"]): r for r in windows.place_medians(df, spans).collect()}
+    middle = lambda values: statistics.median(values) if values else None
+    for (item, on, place), r in got.items():
+        for name, (a, b) in spans.items():
+            seen = [(x, p) for x, i, d, p in rows if i == item and a <= (on - d).days <= b]
+            assert r[f"{name}_own"] == middle([p for x, p in seen if x == place]) and r[f"{name}_others"] == middle([p for x, p in seen if x != place])
+    want = {(i, d + datetime.timedelta(k), x) for x, i, d, _ in rows for k in range(31)}
+    assert set(got) == want | {(i, on, None) for i, on, _ in want}
