@@ -96,3 +96,8 @@ def test_place_medians(spark):
             assert r[f"{name}_own"] == middle([p for x, p in seen if x == place]) and r[f"{name}_others"] == middle([p for x, p in seen if x != place])
     want = {(i, d + datetime.timedelta(k), x) for x, i, d, _ in rows for k in range(31)}
     assert set(got) == want | {(i, on, None) for i, on, _ in want}
+
+
+def test_review_state_compares_no_pairs(spark):
+    plan = catalog.QUERIES["i28_bias_review_state"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "l_extendedprice" not in plan
